@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notecode.operators.once import with_columns_once
+
 PRINCIPAL, RELATED, ASSOCIATED = "DP", "DR", "DAS"
 
 _PARSED = T.StructType(
@@ -91,25 +93,24 @@ def parse_annotations(df: DataFrame, column: str) -> DataFrame:
         ),
     )
     use_python = text.isNotNull() & (F.col("_maps").isNull() | text.rlike(_NOT_SHARED))
-    return (
+    prepared = (
         df.withColumn("_maps", maps)
         .withColumn("_use_python", use_python)
         .withColumn("_entries", F.when(~F.col("_use_python") & (F.size("_maps") == 1), entries))
         .withColumn("_repeats", F.size(codes) < F.size("_entries"))
         .withColumn("_entries", F.when(F.col("_repeats"), last_value).otherwise(F.col("_entries")))
         .withColumn("_python", _fold_cells(F.when(F.col("_use_python"), text)))
-        .withColumns(
-            {
-                "dp": F.coalesce(_last_at(F.col("_entries"), PRINCIPAL), "_python.dp"),
-                "dr": F.coalesce(_last_at(F.col("_entries"), RELATED), "_python.dr"),
-                "das": F.coalesce(
-                    F.transform(
-                        F.filter("_entries", lambda e: e.position == ASSOCIATED), lambda e: e.code
-                    ),
-                    "_python.das",
-                    F.array().cast("array<string>"),
-                ),
-            }
-        )
-        .drop("_maps", "_use_python", "_entries", "_repeats", "_python")
+    )
+    associated = F.filter("_entries", lambda e: e.position == ASSOCIATED)
+    parsed = {
+        "dp": F.coalesce(_last_at(F.col("_entries"), PRINCIPAL), "_python.dp"),
+        "dr": F.coalesce(_last_at(F.col("_entries"), RELATED), "_python.dr"),
+        "das": F.coalesce(
+            F.transform(associated, lambda e: e.code),
+            "_python.das",
+            F.array().cast("array<string>"),
+        ),
+    }
+    return with_columns_once(prepared, parsed).select(
+        *[c for c in df.columns if c not in parsed], *parsed
     )

@@ -45,7 +45,7 @@ def keep_listed(
     facts: DataFrame, codes: DataFrame, column: str, *, salt_by: Sequence[str], **kwargs
 ) -> DataFrame:
     """Keep the rows whose `column` is in the one-column table `codes`."""
-    keys = codes.toDF(column).distinct()
+    keys = codes.toDF(column)
     return lookup_join(facts, keys, [column], "left_semi", salt_by=salt_by, **kwargs)
 
 
@@ -53,7 +53,7 @@ def drop_listed(
     facts: DataFrame, codes: DataFrame, column: str, *, salt_by: Sequence[str], **kwargs
 ) -> DataFrame:
     """Drop the rows whose `column` is in `codes`, and those where it is NULL."""
-    keys = codes.toDF(column).distinct()
+    keys = codes.toDF(column)
     filled = facts.filter(F.col(column).isNotNull())
     return lookup_join(filled, keys, [column], "left_anti", salt_by=salt_by, **kwargs)
 

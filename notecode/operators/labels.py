@@ -19,30 +19,25 @@ ASSOCIATED_CATEGORIES = [0, 1, 2]
 CARE_MODE_PREFIX = "Z"
 
 
-def valid_heads(code: Column, category: Column) -> Column:
-    """Array of the heads for which a referential row is valid."""
+def valid_for(head: str, code: Column, category: Column) -> Column:
+    """Whether a referential row is valid for a head."""
+    if head == "das":
+        return category.isin(ASSOCIATED_CATEGORIES)
     principal = category.isin(PRINCIPAL_CATEGORIES)
-    return F.array_compact(
-        F.array(
-            F.when(principal, F.lit("dp")),
-            F.when(category.isin(ASSOCIATED_CATEGORIES), F.lit("das")),
-            F.when(principal & code.startswith(CARE_MODE_PREFIX), F.lit("mdp")),
-        )
-    )
+    return principal & code.startswith(CARE_MODE_PREFIX) if head == "mdp" else principal
 
 
 def valid_codes(referential: DataFrame, head: str) -> DataFrame:
-    """Distinct codes that are valid for a head, in one column `code`."""
-    heads = valid_heads(F.col("code"), F.col("mco_had"))
-    return referential.filter(F.array_contains(heads, head)).select("code").distinct()
+    """The codes that are valid for a head, in one column `code`."""
+    return referential.filter(valid_for(head, F.col("code"), F.col("mco_had"))).select("code")
 
 
 def referential_label_space(referential: DataFrame) -> DataFrame:
     """(`head`, `label`, `label_id`) with ids in referential order."""
+    code, category = F.col("code"), F.col("mco_had")
+    heads = F.array(*[F.when(valid_for(h, code, category), F.lit(h)) for h in HEADS])
     labels = referential.select(
-        F.explode(valid_heads(F.col("code"), F.col("mco_had"))).alias("head"),
-        F.col("code").alias("label"),
-        "ordinal",
+        F.explode(F.array_compact(heads)).alias("head"), code.alias("label"), "ordinal"
     )
     stretch = F.floor(F.col("ordinal") / 4096)
     ranked = rank_in_group(labels, ["head"], stretch, ["ordinal"], "label_id")
@@ -78,13 +73,8 @@ def top_labels(frequency: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("place") <= k)
 
 
-def label_sources(sources: dict[str, DataFrame], heads: Sequence[str] = HEADS) -> DataFrame:
-    """(`head`, `label`, one boolean per source): where each label occurs, from one pass each."""
-    tagged = None
-    for name, notes in sources.items():
-        present = [h for h in heads if h in notes.columns]
-        part = melt_labels(notes, present).distinct().withColumn("source", F.lit(name))
-        tagged = part if tagged is None else tagged.unionByName(part)
+def label_sources(tagged: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """(`head`, `label`, one boolean per source) from rows (`source`, `head`, `label`)."""
     return tagged.groupBy("head", "label").agg(
         *[F.bool_or(F.col("source") == name).alias(name) for name in sources]
     )

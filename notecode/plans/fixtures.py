@@ -4,12 +4,16 @@ A line of an order stands for one entry of a note's annotation, the part for its
 synonym, a document for a note text and a conversation for a patient.
 """
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notecode.operators.cleaning import apply_care_mode, validate_codes
 from notecode.operators.joins import lookup_join
 from notecode.operators.labels import valid_codes
+from notecode.operators.once import with_columns_once
+from notecode.sources.shared_folder import stored
 
 # Room for part keys in the place of an annotation entry: line number, part key, flag.
 _LINE = 1_000_000_000_000_000
@@ -32,16 +36,20 @@ class Fixtures:
             "p_partkey", "p_name", "p_type", F.concat(letter, size, brand).alias("code")
         )
 
+    @cached_property
     def referential(self) -> DataFrame:
-        """(`code`, `mco_had`); several codes have no category or one that is not valid."""
+        """(`code`, `mco_had`); several codes have no category or one that is not valid.
+
+        Stored once, as a referential is, so that each lookup reads a small file.
+        """
         digit = F.col("p_partkey") % 10
         category = F.when(digit < 6, 0).when(digit < 9, digit - 5)
         default = self.spark.range(1).select(F.lit("Z769").alias("code"), F.lit(0).alias("c"))
         codes = self.part_codes().select("code", category.cast("int").alias("c"))
-        return codes.union(default).groupBy("code").agg(F.min("c").alias("mco_had"))
+        return stored(codes.union(default).groupBy("code").agg(F.min("c").alias("mco_had")), "codes")
 
     def codes(self, head: str) -> DataFrame:
-        return valid_codes(self.referential(), head)
+        return valid_codes(self.referential, head)
 
     def entries(self) -> DataFrame:
         """(`note_id`, `code`, `first_place`, `last_place`): the codes of each annotation.
@@ -101,7 +109,7 @@ class Fixtures:
             .when(kind == 3, F.concat(F.lit("{'seen': null, "), body, F.lit("}")))
             .when(kind != 4, F.concat(F.lit("{"), body, F.lit("}")))
         )
-        return items.select("note_id", text.alias("annot_diagnostics_v2"))
+        return with_columns_once(items, {"annot_diagnostics_v2": text}).drop("items")
 
     def raw_notes(self) -> DataFrame:
         """Raw annotated notes; some lack the text or a further column."""
@@ -147,16 +155,23 @@ class Fixtures:
             F.col("p_partkey").alias("ordinal"), "code", text.alias("libelle")
         )
 
-    def scored(self) -> DataFrame:
-        """(`note_id`, `dp_gold`, `dp`): clean notes with a made-up prediction."""
+    @staticmethod
+    def predicted_dp() -> Column:
+        """A made-up prediction for a clean note: right, near, wrong or missing."""
         note_id, dp = F.col("note_id"), F.col("dp")
-        predicted = (
+        near = F.concat(F.left(dp, F.lit(3)), F.lit("99"))
+        return (
             F.when(note_id % 17 == 0, None)
             .when(note_id % 3 == 0, dp)
-            .when(note_id % 3 == 1, F.concat(F.left(dp, F.lit(3)), F.lit("99")))
+            .when(note_id % 3 == 1, near)
             .otherwise(F.col("mdp"))
         )
-        return self.notes().select("note_id", dp.alias("dp_gold"), predicted.alias("dp"))
+
+    def scored(self) -> DataFrame:
+        """(`note_id`, `dp_gold`, `dp`)."""
+        return self.notes().select(
+            "note_id", F.col("dp").alias("dp_gold"), self.predicted_dp().alias("dp")
+        )
 
     def head_scores(self) -> DataFrame:
         """(`note_id`, `head`, `label`, `score`) with ties."""

@@ -16,7 +16,7 @@ from notecode.operators.joins import keep_listed
 from notecode.operators.ranking import dense_ids, rank_in_group
 from notecode.plans.fixtures import Fixtures
 from notecode.sources import tables
-from notecode.sources.shared_folder import new_path
+from notecode.sources.shared_folder import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +54,7 @@ def notes_csv_scan(fx: Fixtures) -> DataFrame:
 
 
 def _numbered_referential(fx: Fixtures) -> DataFrame:
-    codes = fx.referential().withColumn("_all", F.lit(0))
+    codes = fx.referential.withColumn("_all", F.lit(0))
     ranked = rank_in_group(codes, ["_all"], F.left("code", F.lit(3)), ["code"], "ordinal")
     return ranked.drop("_all").withColumn("mco_had", F.col("mco_had").cast("double"))
 
@@ -116,7 +116,7 @@ def filter_valid_codes(fx: Fixtures) -> DataFrame:
 @query
 def drop_denied_codes(fx: Fixtures) -> DataFrame:
     ruled = cleaning.apply_care_mode(fx.parsed_notes()).select("note_id", "dp", "mdp")
-    denied = fx.referential().filter(F.col("mco_had") > 0).select("code")
+    denied = fx.referential.filter(F.col("mco_had") > 0).select("code")
     return cleaning.drop_denied(cleaning.drop_denied(ruled), denied).select("note_id", "dp", "mdp")
 
 
@@ -138,7 +138,7 @@ def assign_note_ids(fx: Fixtures) -> DataFrame:
 
 @query
 def truncate_codes(fx: Fixtures) -> DataFrame:
-    codes = fx.referential().select("code")
+    codes = fx.referential.select("code")
     cuts = [
         F.struct(F.lit(g).cast("long").alias("granularity"), truncate_code(F.col("code"), g).alias("cut"))
         for g in [*GRANULARITIES, -2]
@@ -186,14 +186,14 @@ def _train(fx: Fixtures) -> DataFrame:
 
 
 def _label_sources(fx: Fixtures) -> DataFrame:
-    return labels.label_sources(
-        {
-            "train": _train(fx),
-            "syn": synthesis.single_code_notes(fx.synonyms(), fx.codes("dp")),
-            "test": fx.notes().filter(F.col("split") == "test"),
-            "other": patients.patient_notes(fx.patients(), "coding"),
-        }
-    )
+    denied = (F.col("split") == "train") & F.col("dp").isin(cleaning.DENIED_CODES)
+    real = labels.melt_labels(fx.notes().filter(~denied), keep=["split"])
+    syn = synthesis.single_code_notes(fx.synonyms(), fx.codes("dp"))
+    other = patients.patient_notes(fx.patients(), "coding")
+    tagged = real.withColumnRenamed("split", "source")
+    for name, notes in (("syn", syn), ("other", other)):
+        tagged = tagged.unionByName(labels.melt_labels(notes, ["dp"]).withColumn("source", F.lit(name)))
+    return labels.label_sources(tagged, ["train", "syn", "test", "other"])
 
 
 def _label_space(fx: Fixtures) -> DataFrame:
@@ -237,8 +237,10 @@ def label_ids(fx: Fixtures) -> DataFrame:
 
 
 def _encoded(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
-    space = labels.number_labels(labels.distinct_labels(_train(fx)))
-    notes = fx.notes().select("note_id", "dp", "das")
+    notes = stored(fx.notes(), "notes")
+    train = cleaning.drop_denied(notes.filter(F.col("split") == "train"))
+    space = stored(labels.number_labels(labels.distinct_labels(train)), "label-space")
+    notes = notes.select("note_id", "dp", "das")
     return labels.encode_label(labels.encode_label(notes, space, "dp"), space, "das"), space
 
 
@@ -259,7 +261,7 @@ def decode_labels(fx: Fixtures) -> DataFrame:
 
 @query
 def label_oov(fx: Fixtures) -> DataFrame:
-    space = labels.referential_label_space(_numbered_referential(fx))
+    space = stored(labels.referential_label_space(_numbered_referential(fx)), "label-space")
     return labels.labels_outside(labels.label_frequency(fx.notes()), space)
 
 
@@ -456,10 +458,15 @@ def metrics_by_doc_type(fx: Fixtures) -> DataFrame:
 
 @query
 def metrics_by_head(fx: Fixtures) -> DataFrame:
-    gold = fx.notes().select("note_id", *[F.col(h).alias(f"{h}_gold") for h in labels.HEADS])
-    dp = fx.scored().select("note_id", "dp", F.lit(cleaning.DEFAULT_CARE_MODE).alias("mdp"))
+    notes = fx.notes()
+    gold = notes.select(
+        "note_id",
+        *[F.col(h).alias(f"{h}_gold") for h in labels.HEADS],
+        fx.predicted_dp().alias("dp"),
+        F.lit(cleaning.DEFAULT_CARE_MODE).alias("mdp"),
+    )
     das = scoring.select_multi_label(fx.head_scores()).select("note_id", F.col("labels").alias("das"))
-    aligned = metrics.align_predictions(metrics.align_predictions(gold, dp), das)
+    aligned = metrics.align_predictions(gold, das)
     counts = metrics.head_counts(aligned, {h: (f"{h}_gold", h) for h in labels.HEADS})
     return rounded(metrics.report(counts, ["head"]))
 
