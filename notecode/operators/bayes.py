@@ -21,12 +21,12 @@ from notecode.operators.joins import lookup_join
 BLOCK_ROWS = 2_000_000
 
 _TOKENS = "label string, token string, n double"
-_LABELS = "label string, n_notes double, n_tokens double"
+_LABELS = "label string, n_notes double"
 
 
 @dataclass(frozen=True)
 class NaiveBayes:
-    """`tokens`: (`label`, `token`, `n`); `labels`: (`label`, `n_notes`, `n_tokens`); all weighted."""
+    """Weighted counts: `tokens` (`label`, `token`, `n`) and `labels` (`label`, `n_notes`)."""
 
     tokens: DataFrame
     labels: DataFrame
@@ -41,18 +41,16 @@ def fit(
     is_array = dict(feed.dtypes)[label].startswith("array")
     labelled = feed.select(
         (F.explode(label) if is_array else F.col(label)).alias("label"),
-        words(F.col(text)).alias("_tokens"),
+        F.col(text).alias("_text"),
         (F.col(weight) if weight else F.lit(1.0)).alias("_weight"),
     ).filter(F.col("label").isNotNull())
     tokens = (
-        labelled.select("label", "_weight", F.explode("_tokens").alias("token"))
+        labelled.select("label", "_weight", F.explode_outer(words(F.col("_text"))).alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("label", "token")
         .agg(F.sum("_weight").alias("n"))
     )
-    labels = labelled.groupBy("label").agg(
-        F.sum("_weight").alias("n_notes"),
-        F.sum(F.col("_weight") * F.size("_tokens")).alias("n_tokens"),
-    )
+    labels = labelled.groupBy("label").agg(F.sum("_weight").alias("n_notes"))
     return NaiveBayes(tokens, labels, smoothing)
 
 
@@ -73,37 +71,41 @@ def _label_bases(model: NaiveBayes) -> DataFrame:
     """(`label`, `prior`, `unseen`): log prior, and log probability of a token the label lacks."""
     vocabulary = model.tokens.select("token").distinct().agg(F.count("*").alias("v")).scalar()
     notes = model.labels.agg(F.sum("n_notes").alias("n")).scalar()
-    return model.labels.select(
+    totals = model.tokens.groupBy("label").agg(F.sum("n").alias("n_tokens"))
+    n_tokens = F.coalesce("n_tokens", F.lit(0.0))
+    smoothing = F.lit(model.smoothing)
+    return model.labels.join(totals, "label", "left").select(
         "label",
         F.log(F.col("n_notes") / notes).alias("prior"),
-        F.log(
-            F.lit(model.smoothing) / (F.col("n_tokens") + F.lit(model.smoothing) * vocabulary)
-        ).alias("unseen"),
+        F.log(smoothing / (n_tokens + smoothing * vocabulary)).alias("unseen"),
     )
 
 
-def _scorer(tokens: pd.DataFrame, bases: pd.DataFrame) -> Callable[[list], tuple[str, float]]:
-    """Best label of a list of tokens under one block of the model."""
+def _arrange(tokens: pd.DataFrame, bases: pd.DataFrame) -> dict:
+    """One block of the model as arrays, the gains of a token next to each other."""
     bases = bases.sort_values("label", ignore_index=True)
-    place = {label: i for i, label in enumerate(bases["label"])}
-    prior, unseen = bases["prior"].to_numpy(), bases["unseen"].to_numpy()
-    tokens = tokens.sort_values("token")
-    columns = tokens["label"].map(place).to_numpy()
-    gains = tokens["gain"].to_numpy()
-    names, starts = np.unique(tokens["token"].to_numpy(dtype=object), return_index=True)
-    ends = np.append(starts[1:], len(tokens))
-    spans = {name: slice(a, b) for name, a, b in zip(names, starts, ends)}
-
-    def score(note: list) -> tuple[str, float]:
-        total = prior + len(note) * unseen
-        for token, times in Counter(note).items():
-            span = spans.get(token)
-            if span is not None:
-                total[columns[span]] += times * gains[span]
-        best = int(np.argmax(total))
-        return bases["label"][best], float(total[best])
-
-    return score
+    numbers, names = pd.factorize(tokens["token"])
+    order = np.argsort(numbers, kind="stable")
+    return {
+        "labels": bases["label"].tolist(),
+        "prior": bases["prior"].to_numpy(),
+        "unseen": bases["unseen"].to_numpy(),
+        "columns": pd.Index(bases["label"]).get_indexer(tokens["label"])[order],
+        "gains": tokens["gain"].to_numpy()[order],
+        "ends": np.cumsum(np.bincount(numbers, minlength=len(names))),
+        "place": {token: i for i, token in enumerate(names)},
+    }
+
+
+def _best_label(block: dict, note: list) -> tuple[str, float]:
+    total = block["prior"] + len(note) * block["unseen"]
+    for token, times in Counter(note).items():
+        i = block["place"].get(token)
+        if i is not None:
+            span = slice(block["ends"][i - 1] if i else 0, block["ends"][i])
+            total[block["columns"][span]] += times * block["gains"][span]
+    first = int(np.argmax(total))
+    return block["labels"][first], float(total[first])
 
 
 _BEST = T.StructType(
@@ -112,13 +114,13 @@ _BEST = T.StructType(
 
 
 def _best_in_block(notes: DataFrame, tokens: pd.DataFrame, bases: pd.DataFrame) -> DataFrame:
-    block = notes.sparkSession.sparkContext.broadcast((tokens, bases))
+    block = notes.sparkSession.sparkContext.broadcast(_arrange(tokens, bases))
 
     @F.pandas_udf(_BEST)
     def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = _scorer(*block.value)
         for batch in batches:
-            yield pd.DataFrame([score(list(t)) for t in batch], columns=["label", "score"])
+            rows = [_best_label(block.value, t.tolist()) for t in batch]
+            yield pd.DataFrame(rows, columns=["label", "score"])
 
     return notes.withColumn("_best", best("_tokens")).select("note_id", "_best.*")
 
@@ -169,9 +171,9 @@ def predict(
     parts = []
     for block in range(n_blocks):
         inside = (F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == block) & ~F.col("label").isin(large)
-        block_bases = bases.filter(inside).toPandas()
+        block_bases = bases.filter(inside).toArrow().to_pandas()
         if len(block_bases):
-            parts.append(_best_in_block(notes, tokens.filter(inside).toPandas(), block_bases))
+            parts.append(_best_in_block(notes, tokens.filter(inside).toArrow().to_pandas(), block_bases))
     if large:
         listed = F.col("label").isin(large)
         parts.append(_score_by_join(notes, tokens.filter(listed), bases.filter(listed)))

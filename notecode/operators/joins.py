@@ -1,8 +1,8 @@
 """Joins against code tables and other key tables.
 
 A table is broadcast only after a count has shown that it is small. A larger one is joined by a
-shuffle in which the fact rows of one key are spread over several salts, so that a key holding a
-large share of all rows does not end in one task.
+shuffle in which the fact rows of a frequent key are spread over as many salts as they fill tasks, so
+that a key holding a large share of all rows does not end in one task.
 """
 
 from collections.abc import Sequence
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 64
+ROWS_PER_TASK = 5_000_000
 HASH_SLOTS = 8192
 
 
@@ -28,16 +28,33 @@ def lookup_join(
     *,
     salt_by: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join facts to a narrow table that holds each key once.
 
-    `salt_by` names the fact columns that tell the rows of one key apart.
+    `salt_by` names the fact columns that tell the rows of one key apart. The table is read to check
+    its size, so a table that is costly to compute should be stored first.
     """
+    on = list(on)
     if is_small(table, broadcast_rows):
-        return facts.join(F.broadcast(table), list(on), how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return facts.join(F.broadcast(table), on, how)
+    # Keys with more rows than a task should get: at most all rows / rows_per_task of them.
+    frequent = (
+        facts.groupBy(*on)
+        .agg(F.ceil(F.count("*") / rows_per_task).alias("_salts"))
+        .filter(F.col("_salts") > 1)
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    salted_facts = (
+        facts.join(F.broadcast(frequent), on, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts))
+        .drop("_salts")
+    )
+    salted_table = (
+        table.join(F.broadcast(frequent), on, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        .drop("_salts")
+    )
     return salted_facts.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 

@@ -53,7 +53,8 @@ def melt_labels(notes: DataFrame, heads: Sequence[str] = HEADS, keep: Sequence[s
         pairs = F.transform(codes, lambda c: F.struct(F.lit(head).alias("head"), c.alias("label")))
         return F.coalesce(pairs, F.array().cast("array<struct<head:string,label:string>>"))
 
-    melted = notes.select(*keep, F.inline(F.concat(*[tagged(h) for h in heads])))
+    # The outer form adds no filter that would build the array a second time.
+    melted = notes.select(*keep, F.inline_outer(F.concat(*[tagged(h) for h in heads])))
     return melted.filter(F.col("label").isNotNull())
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecode.operators.joins import lookup_join
+from notecode.sources.shared_folder import stored
 
 # Fixed value: characters compared.
 PREFIX_CHARACTERS = 1000
@@ -35,10 +36,11 @@ def flag_leaks(
 ) -> DataFrame:
     """Add `leaked`: whether a training text starts with the same characters.
 
-    Both sides are reduced to distinct prefixes before they meet; the test rows are then marked.
+    Both sides are reduced to distinct prefixes before they meet. Those in both are stored, so that
+    the texts are read once more only, to mark the test rows.
     """
-    shared = _shared_prefixes(test, train, text, characters)
-    leaked = shared.filter(F.col("_seen")).select("_prefix", F.col("_seen").alias("leaked"))
+    shared = _shared_prefixes(test, train, text, characters).filter(F.col("_seen"))
+    leaked = stored(shared.select("_prefix", F.col("_seen").alias("leaked")), "leaked-prefixes")
     keyed = test.withColumn("_prefix", prefix_key(F.col(text), characters))
     marked = lookup_join(keyed, leaked, ["_prefix"], "left", salt_by=[note_key])
     return marked.withColumn("leaked", F.coalesce("leaked", F.lit(False))).drop("_prefix")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notecode.functions.text import first_word, truncate_code
+from notecode.functions.text import first_word, truncate_code, word_count
 from notecode.operators import bayes, cleaning, feed, labels, leakage, metrics, patients, scoring, synthesis
 from notecode.operators.joins import keep_listed
 from notecode.operators.ranking import dense_ids, rank_in_group
@@ -267,7 +267,8 @@ def label_oov(fx: Fixtures) -> DataFrame:
 
 @query
 def class_weights(fx: Fixtures) -> DataFrame:
-    return rounded(labels.class_weights(labels.label_frequency(_train(fx))))
+    frequency = stored(labels.label_frequency(_train(fx)), "label-frequency")
+    return rounded(labels.class_weights(frequency))
 
 
 # Leakage
@@ -324,7 +325,10 @@ def mix_streams(fx: Fixtures) -> DataFrame:
 
 
 def _shuffled(fx: Fixtures, columns: list[str]) -> DataFrame:
-    documents = fx.documents().withColumnRenamed("split", "stream").select("stream", *columns)
+    documents = fx.documents().withColumns(
+        {"stream": F.col("split"), "n_words": word_count(F.col("note_text"))}
+    )
+    documents = documents.select("stream", *columns)
     return feed.shuffle_dataset(documents, seed=SEED)
 
 
@@ -346,7 +350,7 @@ def assign_batches(fx: Fixtures) -> DataFrame:
 
 @query
 def assign_sub_batches(fx: Fixtures) -> DataFrame:
-    return feed.assign_sub_batches(feed.assign_batches(_shuffled(fx, ["note_id", "note_text"])))
+    return feed.assign_sub_batches(feed.assign_batches(_shuffled(fx, ["note_id", "n_words"])))
 
 
 # Scoring
