@@ -84,22 +84,17 @@ def parse_annotations(df: DataFrame, column: str) -> DataFrame:
             F.try_variant_get(e.value, "$.position", "string").alias("position"),
         ),
     )
-    codes = F.array_distinct(F.transform("_entries", lambda e: e.code))
-    last_value = F.transform(
-        codes,
-        lambda c: F.struct(
-            c.alias("code"),
-            F.element_at(F.filter("_entries", lambda e: e.code == c), -1).position.alias("position"),
-        ),
-    )
-    use_python = text.isNotNull() & (F.col("_maps").isNull() | text.rlike(_NOT_SHARED))
+    # A dict that repeats a code is left to Python, which folds it in one pass.
+    codes = F.transform("_entries", lambda e: e.code)
+    repeats = F.size(F.array_distinct(codes)) < F.size("_entries")
+    not_json = F.col("_maps").isNull() | text.rlike(_NOT_SHARED)
+    one_dict = F.when(F.size("_maps") == 1, F.col("_entries"))
     prepared = (
         df.withColumn("_maps", maps)
-        .withColumn("_use_python", use_python)
-        .withColumn("_entries", F.when(~F.col("_use_python") & (F.size("_maps") == 1), entries))
-        .withColumn("_repeats", F.size(codes) < F.size("_entries"))
-        .withColumn("_entries", F.when(F.col("_repeats"), last_value).otherwise(F.col("_entries")))
+        .withColumn("_entries", entries)
+        .withColumn("_use_python", text.isNotNull() & (not_json | F.coalesce(repeats, F.lit(False))))
         .withColumn("_python", _fold_cells(F.when(F.col("_use_python"), text)))
+        .withColumn("_entries", F.when(~F.col("_use_python"), one_dict))
     )
     associated = F.filter("_entries", lambda e: e.position == ASSOCIATED)
     parsed = {

@@ -136,7 +136,7 @@ def _score_by_join(notes: DataFrame, tokens: DataFrame, bases: DataFrame) -> Dat
     for row in bases.collect():  # labels beyond the block size: at most model rows / block size
         one = tokens.filter(F.col("label") == row["label"]).select("token", "gain")
         gains = (
-            lookup_join(in_notes, one, ["token"], "left", salt_by=["note_id"], broadcast_rows=0)
+            lookup_join(in_notes, one, ["token"], "left", salt_by=["note_id"], small=False)
             .groupBy("note_id")
             .agg(F.sum(F.col("_tf") * F.coalesce("gain", F.lit(0.0))).alias("_gain"))
         )

@@ -45,14 +45,14 @@ def keep_valid_array_codes(
 ) -> DataFrame:
     """Keep the listed codes of an array column; an array may end empty, its note is kept."""
     listed = codes.toDF("code").distinct()
-    if is_small(listed, broadcast_rows):
+    if is_small(codes, broadcast_rows):
         lookup = ArrayLookup(listed.withColumn("listed", F.lit(True)), "code", "listed")
         kept = F.filter(column, lambda c: lookup.get(F.col("_listed"), c).isNotNull())
         return notes.withColumn("_listed", lookup.column()).withColumn(column, kept).drop("_listed")
     # A code list of unknown size: semi-join the exploded codes, then put the arrays back.
     exploded = notes.select(note_key, F.posexplode(column).alias("_pos", "code"))
     valid = lookup_join(
-        exploded, listed, ["code"], "left_semi", salt_by=[note_key, "_pos"], broadcast_rows=0
+        exploded, listed, ["code"], "left_semi", salt_by=[note_key, "_pos"], small=False
     )
     arrays = valid.groupBy(note_key).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "code"))).alias("_kept")
@@ -78,8 +78,9 @@ def validate_codes(
 ) -> DataFrame:
     """Keep the notes whose `dp` and `mdp` are valid principal codes, and their valid `das` codes."""
     notes = notes.filter(is_filled(F.col("dp")))
-    notes = keep_listed(notes, dp_codes, "dp", salt_by=[note_key])
-    notes = keep_listed(notes, dp_codes, "mdp", salt_by=[note_key])
+    notes = keep_listed(
+        notes, dp_codes, "dp", "mdp", salt_by=[note_key], small=is_small(dp_codes)
+    )
     notes = notes.withColumn("das", F.array_sort(F.array_distinct("das")))
     return keep_valid_array_codes(notes, das_codes, "das", note_key=note_key)
 
@@ -117,10 +118,10 @@ def cleaning_funnel(
         note_key, F.col(annotations).alias("_annotations"), complete.alias("complete")
     )
     ruled = apply_care_mode(parse_annotations(flagged, "_annotations"))
-    listed = dp_codes.toDF("code").distinct()
+    listed, small = dp_codes.toDF("code").distinct(), is_small(dp_codes)
     for head in ("dp", "mdp"):
         keys = listed.select(F.col("code").alias(head), F.lit(True).alias(f"{head}_listed"))
-        ruled = lookup_join(ruled, keys, [head], "left", salt_by=[note_key])
+        ruled = lookup_join(ruled, keys, [head], "left", salt_by=[note_key], small=small)
     stages = [
         ("read", F.lit(True)),
         ("complete", F.col("complete")),

@@ -27,16 +27,18 @@ def lookup_join(
     how: str = "inner",
     *,
     salt_by: Sequence[str],
+    small: bool | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Join facts to a narrow table that holds each key once.
+    """Join facts to a narrow table; for an inner or left join it must hold each key once.
 
-    `salt_by` names the fact columns that tell the rows of one key apart. The table is read to check
-    its size, so a table that is costly to compute should be stored first.
+    `salt_by` names the fact columns that tell the rows of one key apart. Unless the caller has asked
+    `is_small` before, the table is read to check its size; one that is costly to compute should be
+    stored first.
     """
     on = list(on)
-    if is_small(table, broadcast_rows):
+    if is_small(table, broadcast_rows) if small is None else small:
         return facts.join(F.broadcast(table), on, how)
     # Keys with more rows than a task should get: at most all rows / rows_per_task of them.
     frequent = (
@@ -59,20 +61,21 @@ def lookup_join(
 
 
 def keep_listed(
-    facts: DataFrame, codes: DataFrame, column: str, *, salt_by: Sequence[str], **kwargs
+    facts: DataFrame, codes: DataFrame, *columns: str, salt_by: Sequence[str], **limits
 ) -> DataFrame:
-    """Keep the rows whose `column` is in the one-column table `codes`."""
-    keys = codes.toDF(column)
-    return lookup_join(facts, keys, [column], "left_semi", salt_by=salt_by, **kwargs)
+    """Keep the rows whose `columns` are all in the one-column table `codes`."""
+    for column in columns:
+        keys = codes.toDF(column)
+        facts = lookup_join(facts, keys, [column], "left_semi", salt_by=salt_by, **limits)
+    return facts
 
 
 def drop_listed(
-    facts: DataFrame, codes: DataFrame, column: str, *, salt_by: Sequence[str], **kwargs
+    facts: DataFrame, codes: DataFrame, column: str, *, salt_by: Sequence[str], **limits
 ) -> DataFrame:
     """Drop the rows whose `column` is in `codes`, and those where it is NULL."""
-    keys = codes.toDF(column)
     filled = facts.filter(F.col(column).isNotNull())
-    return lookup_join(filled, keys, [column], "left_anti", salt_by=salt_by, **kwargs)
+    return lookup_join(filled, codes.toDF(column), [column], "left_anti", salt_by=salt_by, **limits)
 
 
 class ArrayLookup:

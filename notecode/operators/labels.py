@@ -143,7 +143,7 @@ def _translate(notes, space, head, column, key, value, name, note_key):
         return notes.withColumn("_table", lookup.column()).withColumn(name, values).drop("_table")
     exploded = notes.select(note_key, F.posexplode(column).alias("_pos", "_key"))
     joined = lookup_join(
-        exploded, table, ["_key"], "left", salt_by=[note_key, "_pos"], broadcast_rows=0
+        exploded, table, ["_key"], "left", salt_by=[note_key, "_pos"], small=False
     )
     arrays = joined.groupBy(note_key).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_values")

@@ -13,7 +13,8 @@ def rank_in_group(
 
     `bucket` cuts a group into consecutive stretches of that order. Each stretch is numbered on its
     own and starts after the counted rows of the earlier ones, so a group is never sorted in one
-    task. The result depends on the data only, not on the partitioning. Keys must not be NULL.
+    task. The result depends on the data only, not on the partitioning. Keys must not be NULL. The
+    rows are read twice, so costly ones should be stored first.
     """
     stretch = [*group, "_rank_bucket"]
     rows = df.withColumn("_rank_bucket", bucket)

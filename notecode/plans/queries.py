@@ -109,8 +109,8 @@ def drop_incomplete_rows(fx: Fixtures) -> DataFrame:
 @query
 def filter_valid_codes(fx: Fixtures) -> DataFrame:
     ruled = cleaning.apply_care_mode(fx.parsed_notes()).select("note_id", "dp", "mdp")
-    codes = fx.codes("dp")
-    return keep_listed(keep_listed(ruled, codes, "dp", salt_by=["note_id"]), codes, "mdp", salt_by=["note_id"]).select("note_id", "dp", "mdp")
+    kept = keep_listed(ruled, fx.codes("dp"), "dp", "mdp", salt_by=["note_id"])
+    return kept.select("note_id", "dp", "mdp")
 
 
 @query
@@ -174,7 +174,9 @@ def cleaning_funnel(fx: Fixtures) -> DataFrame:
 
 @query
 def patient_explode(fx: Fixtures) -> DataFrame:
-    notes = patients.patient_notes(fx.patients(), "coding")
+    path = new_path(fx.spark, "patients")
+    fx.patients().write.json(path)
+    notes = patients.patient_notes(tables.read_patients(fx.spark, path, "json"), "coding")
     return notes.withColumn("document_no", F.col("document_no").cast("long"))
 
 
@@ -233,7 +235,7 @@ def label_coverage(fx: Fixtures) -> DataFrame:
 
 @query
 def label_ids(fx: Fixtures) -> DataFrame:
-    return labels.number_labels(_label_space(fx))
+    return labels.number_labels(stored(_label_space(fx), "label-space"))
 
 
 def _encoded(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +426,7 @@ def nb_predict(fx: Fixtures) -> DataFrame:
 
 @query
 def align_gold_pred(fx: Fixtures) -> DataFrame:
-    scored = fx.scored()
+    scored = stored(fx.scored(), "scored")
     return metrics.align_predictions(scored.select("note_id", "dp_gold"), scored.select("note_id", "dp"))
 
 

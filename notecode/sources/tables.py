@@ -51,8 +51,10 @@ def read_patients(spark: SparkSession, path: str, file_format: str = "parquet")
 
 
 def read_synonyms(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+    """(`ordinal`, `code`, `libelle`); `ordinal` numbers the rows as they are read."""
     options = {"header": True} if file_format == "csv" else {}
-    return spark.read.schema(schemas.SYNONYM).options(**options).format(file_format).load(path)
+    rows = spark.read.schema(schemas.SYNONYM).options(**options).format(file_format).load(path)
+    return rows.select(F.monotonically_increasing_id().alias("ordinal"), "code", "libelle")
 
 
 def read_notes(spark: SparkSession, path: str, schema: T.StructType = schemas.NOTE) -> DataFrame:
@@ -84,6 +86,11 @@ def write_notes(
     rows.write.mode("overwrite").parquet(path)
 
 
+def write_scored(scored: DataFrame, path: str) -> None:
+    """Write scored notes, gold and predicted columns side by side."""
+    scored.write.mode("overwrite").parquet(path)
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """Write a (`head`, `label`, ...) table with one folder per head."""
     labels.write.mode("overwrite").partitionBy("head").parquet(path)

@@ -229,3 +229,29 @@ def test_bayes_in_blocks_and_by_join(spark):
     arrays = feed_rows.withColumn("label", F.array("label"))
     counted = bayes.fit(arrays, label="label", weight="w")
     assert sorted(map(tuple, counted.tokens.collect())) == sorted(map(tuple, model.tokens.collect()))
+
+
+def test_synonym_files_and_scored_sink(spark):
+    rows = [("A00", "Choléra"), ("A00", "Cholera, classical"), ("B01", "Varicella")]
+    synonyms = spark.createDataFrame(rows, "code string, libelle string")
+    for file_format in ("csv", "parquet"):
+        path = new_path(spark, "synonyms-test")
+        synonyms.write.options(**({"header": True} if file_format == "csv" else {})).format(file_format).save(path)
+        read = tables.read_synonyms(spark, path, file_format)
+        assert sorted((r.code, r.libelle) for r in read.collect()) == sorted(rows)
+        assert read.select("ordinal").distinct().count() == 3
+        numbered = synthesis.number_synonyms(read)
+        assert sorted((r.code, r.pick) for r in numbered.collect()) == [("A00", 0), ("A00", 1), ("B01", 0)]
+    path = new_path(spark, "scored-test")
+    tables.write_scored(synonyms, path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_scoring_runs_once_below_a_filter(spark):
+    def load():
+        return lambda texts: pd.DataFrame({"dp": texts})
+
+    notes = spark.createDataFrame([(1, "a"), (2, None)], "note_id int, note_text string")
+    scored = scoring.score_notes(notes, load, {"dp": T.StringType()}).filter("dp is not null")
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.dp for r in scored.collect()] == ["a"]
