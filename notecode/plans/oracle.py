@@ -98,7 +98,7 @@ VIEWS = {
     "conversation_notes": """
         select conv_id * 1000 + turn as patient_id, d.document_no,
           case when d.document_no = 0 then text else 'copy' end as note_text, concat('P', cast(conv_id % 9 as varchar)) as dp
-        from conversations, (values (0), (1)) d(document_no)
+        from conversations, (values (0::bigint), (1)) d(document_no)
         where conv_id % 3 <> 0 and turn % 5 <> 4 and conv_id % 4 <> 0""",
     "label_sources": """
         select head, label, bool_or(source = 'train') as train, bool_or(source = 'syn') as syn,
@@ -165,7 +165,7 @@ VIEWS = {
         select stream, position // 32 as batch, position, note_id,
           len(list_filter(regexp_split_to_array(note_text, '\\s+'), lambda w: w <> '')) as n_words from shuffled""",
     "placed": """
-        select stream, batch, position, note_id, n_words, 0 as sub_batch, n_words as used
+        select stream, batch, position, note_id, n_words, 0::bigint as sub_batch, n_words as used
         from counted where position % 32 = 0
         union all
         select c.stream, c.batch, c.position, c.note_id, c.n_words,
@@ -201,7 +201,7 @@ VIEWS = {
           case when turn % 3 <> 0 then concat('C', cast(conv_id % 7 as varchar), ' x') end as dp_gold
         from conversations""",
     "grouped": """
-        select patient_id, 0 as part, count(*) as n_documents, string_agg(note_text, ' ' order by document_no) as note_text
+        select patient_id, 0::bigint as part, count(*) as n_documents, string_agg(note_text, ' ' order by document_no) as note_text
         from coded_documents group by patient_id""",
     "aligned": """
         select g.dp_gold, concat('C', cast(len(list_filter(regexp_split_to_array(t.note_text, '\\s+'), lambda w: w <> '')) % 7 as varchar)) as dp
@@ -250,7 +250,7 @@ def _cut(column: str) -> str:
 
 
 _CUT_SCORED = f"""(select granularity, {_cut('dp_gold')} as dp_gold, {_cut('dp')} as dp
-                   from scored, (values (0), (3), (-1)) g(granularity))"""
+                   from scored, (values (0::bigint), (3), (-1)) g(granularity))"""
 _TYPED_SCORED = """(select t.doc_type, d.lang as dp_gold,
                       case when note_id % 3 = 0 then d.lang when note_id % 7 <> 0 then 'en' end as dp
                     from docs d join typed t using (note_id))"""
@@ -284,7 +284,7 @@ BODIES = {
     "assign_note_ids": "select row_number() over (order by doc_id) - 1 as note_id, doc_id, lang from documents",
     "truncate_codes": f"""
         select code, granularity, {_cut('code')} as cut
-        from ref_codes, (values (0), (3), (-1), (-2)) g(granularity)""",
+        from ref_codes, (values (0::bigint), (3), (-1), (-2)) g(granularity)""",
     "parse_annotations": "select note_id, dp, dr, das from text_parsed",
     "filter_das_codes": """
         select p.note_id, coalesce(das, '') as das
@@ -296,7 +296,7 @@ BODIES = {
         left join das_valid d on c.note_id = d.note_id""",
     "cleaning_funnel": """
         select step, stage, n from (
-          select 0 as step, 'read' as stage, count(*) as n from raw_flags
+          select 0::bigint as step, 'read' as stage, count(*) as n from raw_flags
           union all select 1, 'complete', count(*) from raw_flags where complete
           union all select 2, 'with_dp', count(*) from raw_flags where complete and coalesce(dr, dp) is not null
           union all select 3, 'dp_valid', count(*) from raw_flags
@@ -321,7 +321,7 @@ BODIES = {
         where head = 'dp'""",
     "label_ids": "select head, label, row_number() over (partition by head order by label) - 1 as label_id from label_space",
     "encode_labels": """
-        select n.note_id, e.label_id as dp_id, coalesce(d.ids, '') as das_id
+        select n.note_id, coalesce(e.label_id, -1) as dp_id, coalesce(d.ids, '') as das_id
         from notes_clean n left join train_ids e on e.head = 'dp' and e.label = n.dp
         left join (select note_id, string_agg(coalesce(cast(label_id as varchar), '?'), '|' order by das) as ids
                    from notes_das left join train_ids on head = 'das' and label = das group by note_id) d

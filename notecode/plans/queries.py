@@ -40,6 +40,11 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
 
 
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as longs, the width the SQL engine counts in."""
+    return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int"})
+
+
 # Sources and sinks
 
 
@@ -95,7 +100,7 @@ def dataset_sink_roundtrip(fx: Fixtures) -> DataFrame:
 def label_space_ref(fx: Fixtures) -> DataFrame:
     path = new_path(fx.spark, "labels")
     tables.write_labels(labels.referential_label_space(_numbered_referential(fx)), path)
-    return tables.read_labels(fx.spark, path)
+    return longs(tables.read_labels(fx.spark, path))
 
 
 # Rows and columns
@@ -140,10 +145,10 @@ def assign_note_ids(fx: Fixtures) -> DataFrame:
 def truncate_codes(fx: Fixtures) -> DataFrame:
     codes = fx.referential.select("code")
     cuts = [
-        F.struct(F.lit(g).cast("long").alias("granularity"), truncate_code(F.col("code"), g).alias("cut"))
+        F.struct(F.lit(g).alias("granularity"), truncate_code(F.col("code"), g).alias("cut"))
         for g in [*GRANULARITIES, -2]
     ]
-    return codes.select("code", F.inline(F.array(*cuts)))
+    return longs(codes.select("code", F.inline(F.array(*cuts))))
 
 
 # Annotations and cleaning
@@ -169,7 +174,7 @@ def clean_notes(fx: Fixtures) -> DataFrame:
 
 @query
 def cleaning_funnel(fx: Fixtures) -> DataFrame:
-    return cleaning.cleaning_funnel(fx.raw_notes(), fx.codes("dp"))
+    return longs(cleaning.cleaning_funnel(fx.raw_notes(), fx.codes("dp")))
 
 
 @query
@@ -177,7 +182,7 @@ def patient_explode(fx: Fixtures) -> DataFrame:
     path = new_path(fx.spark, "patients")
     fx.patients().write.json(path)
     notes = patients.patient_notes(tables.read_patients(fx.spark, path, "json"), "coding")
-    return notes.withColumn("document_no", F.col("document_no").cast("long"))
+    return longs(notes)
 
 
 # Labels
@@ -235,7 +240,7 @@ def label_coverage(fx: Fixtures) -> DataFrame:
 
 @query
 def label_ids(fx: Fixtures) -> DataFrame:
-    return labels.number_labels(stored(_label_space(fx), "label-space"))
+    return longs(labels.number_labels(stored(_label_space(fx), "label-space")))
 
 
 def _encoded(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +255,8 @@ def _encoded(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
 def encode_labels(fx: Fixtures) -> DataFrame:
     encoded, _ = _encoded(fx)
     ids = F.transform("das_id", lambda i: F.coalesce(i.cast("string"), F.lit("?")))
-    return encoded.select("note_id", F.col("dp_id").cast("long"), F.array_join(ids, "|").alias("das_id"))
+    dp_id = F.coalesce(F.col("dp_id").cast("long"), F.lit(-1))
+    return encoded.select("note_id", dp_id.alias("dp_id"), F.array_join(ids, "|").alias("das_id"))
 
 
 @query
@@ -398,8 +404,7 @@ def pool_vectors(fx: Fixtures) -> DataFrame:
     pooled = scoring.pool_vectors(
         fx.table("embeddings"), key="label", vector="embedding", logit=F.col("vec_id") % 7, row_key="vec_id"
     )
-    values = pooled.select(F.col("label").cast("long"), F.posexplode("pooled").alias("dim", "value"))
-    return rounded(values.withColumn("dim", F.col("dim").cast("long")))
+    return rounded(longs(pooled.select("label", F.posexplode("pooled").alias("dim", "value"))))
 
 
 def _bayes(fx: Fixtures) -> bayes.NaiveBayes:
@@ -451,7 +456,7 @@ def metrics_per_label(fx: Fixtures) -> DataFrame:
 def metrics_by_granularity(fx: Fixtures) -> DataFrame:
     cut = metrics.at_granularities(fx.scored(), GRANULARITIES)
     report = metrics.report(metrics.single_label_counts(cut, by=["granularity"]), ["granularity"])
-    return rounded(report.withColumn("granularity", F.col("granularity").cast("long")))
+    return rounded(longs(report))
 
 
 @query
