@@ -170,10 +170,12 @@ def predict(
     bases = _label_bases(model)
     parts = []
     for block in range(n_blocks):
-        inside = (F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == block) & ~F.col("label").isin(large)
+        in_block = F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == block
+        inside = in_block & ~F.col("label").isin(large)
         block_bases = bases.filter(inside).toArrow().to_pandas()
         if len(block_bases):
-            parts.append(_best_in_block(notes, tokens.filter(inside).toArrow().to_pandas(), block_bases))
+            block_tokens = tokens.filter(inside).toArrow().to_pandas()
+            parts.append(_best_in_block(notes, block_tokens, block_bases))
     if large:
         listed = F.col("label").isin(large)
         parts.append(_score_by_join(notes, tokens.filter(listed), bases.filter(listed)))

@@ -7,7 +7,7 @@ from notecode.functions.text import is_filled, truncate_code
 from notecode.operators.joins import lookup_join
 from notecode.operators.ranking import rank_in_group
 
-DOCUMENTS_PER_ROW = 10_000
+DOCUMENTS_PER_ROW = 2_000
 
 
 def patient_notes(patients: DataFrame, pool: str) -> DataFrame:

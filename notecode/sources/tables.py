@@ -62,7 +62,10 @@ def read_notes(spark: SparkSession, path: str, schema: T.StructType = schemas.NO
 
 
 def note_id(source: str, *key: Column) -> Column:
-    """An id fixed by the source name and the natural key, distinct across sources."""
+    """A 64-bit id fixed by the source name and the natural key; equal keys share it.
+
+    Beyond some 10 ** 9 rows two keys may share one as well; `ranking.dense_ids` is exact.
+    """
     return F.xxhash64(F.lit(source), *key)
 
 

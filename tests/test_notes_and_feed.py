@@ -164,18 +164,17 @@ def test_batches(spark):
     assert [r.sub_batch for r in placed] == [0, 1, 2, 2, 3]
 
 
-def test_score_notes_loads_once_per_task(spark):
+def test_score_notes_loads_once_per_worker(spark, tmp_path):
     def load():
-        state = {"loads": 1}
-
-        def predict(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame({"dp": texts.str.upper(), "n": [state["loads"]] * len(texts)})
-
-        return predict
-
-    notes = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "note_id int, note_text string, dp string")
-    scored = scoring.score_notes(notes.withColumnRenamed("dp", "dp_gold"), load, {"dp": T.StringType(), "n": T.LongType()})
-    assert sorted(map(tuple, scored.collect())) == [(1, "a", "x", "A", 1), (2, "b", "y", "B", 1)]
+        with open(tmp_path / "loads", "a") as log:
+            log.write("x")
+        return lambda texts: pd.DataFrame({"dp": texts.str.upper(), "n": texts.str.len()})
+
+    notes = spark.range(100).select("id", F.lit("ab").alias("note_text"), F.lit("G").alias("dp_gold"))
+    scored = scoring.score_notes(notes.repartition(40), load, {"dp": T.StringType(), "n": T.LongType()})
+    assert scored.columns == ["id", "note_text", "dp_gold", "dp", "n"]
+    assert scored.filter("dp = 'AB' and n = 2 and dp_gold = 'G'").count() == 100
+    assert len((tmp_path / "loads").read_text()) < 40
 
 
 def test_head_decisions(spark):
