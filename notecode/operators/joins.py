@@ -10,14 +10,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notecode.sources.shared_folder import stored
+
 BROADCAST_ROWS = 200_000
 ROWS_PER_TASK = 5_000_000
+TOP_KEYS, TRACKED_KEYS = 10_000, 32_768
 HASH_SLOTS = 8192
 
 
 def is_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if the table has at most `rows` rows; no more than that are counted."""
-    return table.limit(rows + 1).count() <= rows
+    """True if the table has at most `rows` rows. For a stored table, file footers tell the number."""
+    return table.count() <= rows
+
+
+def frequent_keys(facts: DataFrame, on: Sequence[str], rows_per_task: int) -> DataFrame:
+    """(`_key_hash`, `_salts`): hash of each key with more rows than a task should get, and its tasks.
+
+    A frequent-items sketch finds them in one pass without shuffling the keys; it has at most
+    `TRACKED_KEYS` entries. An estimate only sets over how many tasks a key is spread, which does not
+    change any result. The table is stored, so that both sides of a join see the same numbers.
+    """
+    top = F.expr(f"approx_top_k(_key_hash, {TOP_KEYS}, {TRACKED_KEYS})")
+    hashes = facts.select(F.xxhash64(*on).alias("_key_hash"))
+    items = hashes.agg(top.alias("top")).select(F.inline("top"))
+    salts = F.ceil(F.col("count") / rows_per_task)
+    frequent = items.select(F.col("item").alias("_key_hash"), salts.alias("_salts"))
+    return stored(frequent.filter(F.col("_salts") > 1), "frequent-keys")
 
 
 def lookup_join(
@@ -40,24 +58,19 @@ def lookup_join(
     on = list(on)
     if is_small(table, broadcast_rows) if small is None else small:
         return facts.join(F.broadcast(table), on, how)
-    # Keys with more rows than a task should get: at most all rows / rows_per_task of them.
-    frequent = (
-        facts.groupBy(*on)
-        .agg(F.ceil(F.count("*") / rows_per_task).alias("_salts"))
-        .filter(F.col("_salts") > 1)
-    )
-    salts = F.coalesce("_salts", F.lit(1))
-    salted_facts = (
-        facts.join(F.broadcast(frequent), on, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts))
-        .drop("_salts")
-    )
-    salted_table = (
-        table.join(F.broadcast(frequent), on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-        .drop("_salts")
+    frequent = F.broadcast(frequent_keys(facts, on, rows_per_task))  # at most TOP_KEYS rows
+    salts = F.coalesce("_salts", F.lit(1).cast("long"))
+
+    def with_salts(side: DataFrame) -> DataFrame:
+        hashed = side.withColumn("_key_hash", F.xxhash64(*on))
+        return hashed.join(frequent, "_key_hash", "left").drop("_key_hash")
+
+    salted_facts = with_salts(facts).withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts))
+    salted_table = with_salts(table).withColumn(
+        "_salt", F.explode_outer(F.sequence(F.lit(0).cast("long"), salts - 1))
     )
-    return salted_facts.join(salted_table, [*on, "_salt"], how).drop("_salt")
+    joined = salted_facts.drop("_salts").join(salted_table.drop("_salts"), [*on, "_salt"], how)
+    return joined.drop("_salt")
 
 
 def keep_listed(
