@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from notecode.functions.text import words
 from notecode.operators.joins import lookup_join
+from notecode.sources.shared_folder import stored
 
 BLOCK_ROWS = 2_000_000
 
@@ -164,10 +165,11 @@ def predict(
     tokens = model.tokens.select("label", "token", gain)
     sizes = tokens.groupBy("label").agg(F.count("*").alias("rows"))
     fits = F.col("rows") <= block_rows
-    large = [row["label"] for row in sizes.filter(~fits).select("label").collect()]
-    total = sizes.filter(fits).agg(F.sum("rows").alias("n")).head()["n"] or 0
-    n_blocks = math.ceil(2 * total / block_rows) or 1
-    bases = _label_bases(model)
+    total, large = sizes.agg(
+        F.sum(F.when(fits, F.col("rows"))), F.collect_list(F.when(~fits, F.col("label")))
+    ).head()
+    n_blocks = math.ceil(2 * (total or 0) / block_rows) or 1
+    bases = stored(_label_bases(model), "label-bases")
     parts = []
     for block in range(n_blocks):
         in_block = F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == block
