@@ -24,8 +24,9 @@ _PARSED = T.StructType(
         T.StructField("das", T.ArrayType(T.StringType())),
     ]
 )
-# JSON-only words, and back-slash escapes, which the two notations read differently.
-_NOT_SHARED = r"\b(null|true|false|NaN|Infinity|INF)\b|\\"
+# JSON-only words; back-slash escapes, which the two notations read differently; and a bracket after
+# a dict, which may close the array the cell is read in.
+_NOT_SHARED = r"\b(null|true|false|NaN|Infinity|INF)\b|\\|\}\s*\]"
 
 
 def fold_python_dict(cell: str | None) -> dict | None:
@@ -92,7 +93,7 @@ def parse_annotations(df: DataFrame, column: str) -> DataFrame:
     prepared = (
         df.withColumn("_maps", maps)
         .withColumn("_entries", entries)
-        .withColumn("_use_python", text.isNotNull() & (not_json | F.coalesce(repeats, F.lit(False))))
+        .withColumn("_use_python", text.isNotNull() & F.coalesce(not_json | repeats, F.lit(False)))
         .withColumn("_python", _fold_cells(F.when(F.col("_use_python"), text)))
         .withColumn("_entries", F.when(~F.col("_use_python"), one_dict))
     )

@@ -39,6 +39,9 @@ CELLS = {
     "{'A': {'position': 'DP'}, 1: {'position': 'DR'}}": (None, None, []),
     "{'A': {'position': 'DP'}, None: {'position': 'DR'}}": ("A", None, []),
     "{[1]: 2}": (None, None, []),
+    "{'A': {'position': 'DP'}}]": (None, None, []),
+    "{'A': {'position': 'DP'}} ], [{}": (None, None, []),
+    "{'A': {'position': 'DP', 'l': [{'x': 1}]}}": ("A", None, []),
     "['A']": (None, None, []),
     "{}": (None, None, []),
     "not a dict": (None, None, []),
