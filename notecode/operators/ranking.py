@@ -13,7 +13,7 @@ def rank_in_group(
 
     `bucket` cuts a group into consecutive stretches of that order. Each stretch is numbered on its
     own and starts after the counted rows of the earlier ones, so a group is never sorted in one
-    task. The result depends on the data only, not on the partitioning. Keys must not be NULL. The
+    task. The result depends on the data only, not on the partitioning. A NULL key is an error. The
     rows are read twice, so costly ones should be stored first.
     """
     stretch = [*group, "_rank_bucket"]
@@ -27,10 +27,12 @@ def rank_in_group(
         .select(*stretch, F.coalesce(F.sum("_rank_n").over(earlier), F.lit(0)).alias("_rank_start"))
     )
     inside = F.row_number().over(Window.partitionBy(*stretch).orderBy(*order))
+    no_key = F.raise_error(F.lit("a row to be numbered has no key")).cast("long")
+    start = F.coalesce("_rank_start", no_key)
     return (
         rows.withColumn("_rank_inside", inside)
-        .join(starts, stretch)
-        .withColumn(name, F.col("_rank_start") + F.col("_rank_inside") - 1)
+        .join(starts, stretch, "left")
+        .withColumn(name, start + F.col("_rank_inside") - 1)
         .drop("_rank_bucket", "_rank_inside", "_rank_start")
     )
 

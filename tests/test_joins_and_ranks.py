@@ -53,3 +53,9 @@ def test_dense_ids(spark):
     rows = spark.range(0, 5000, 7).select((F.col("id") + 3).alias("k"))
     numbered = dense_ids(rows, "k", width=100)
     assert numbered.filter(F.col("note_id") * 7 + 3 != F.col("k")).count() == 0
+
+
+def test_rows_without_key_are_an_error(spark):
+    rows = spark.range(10).select("id", F.when(F.col("id") != 3, "a").alias("g"))
+    with pytest.raises(Exception, match="has no key"):
+        rank_in_group(rows, ["g"], F.floor(F.col("id") / 3), ["id"], "place").collect()
