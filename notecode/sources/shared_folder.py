@@ -1,17 +1,24 @@
 """A folder every executor can reach, for tables that are written and read again."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path below `spark.checkpoint.dir`; without that setting, in a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def session_folder(spark: SparkSession) -> str:
+    """The folder of this application below `spark.checkpoint.dir`.
+
+    Without that setting it lies below the checkpoint folder of the context, else the warehouse.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="notecode-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/notecode-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of this application."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +26,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
