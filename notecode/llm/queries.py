@@ -4,13 +4,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notecode.llm import line_quality, mixing, personal_data
+from notecode.llm import language, line_quality, mixing, personal_data, pieces, unit_dedup, warc
+
+
+def model_path() -> str:
+    """The public SentencePiece model; it has the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op2_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(_read(spark, folder, "documents"))
+
+
+def op3_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark, _read(spark, folder, "pages"))
+
+
 def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.verdicts(_read(spark, folder, "documents"))
 
@@ -19,12 +34,24 @@ def op7_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(_read(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return unit_dedup.repeated_units(_read(spark, folder, "documents"))
+
+
+def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(_read(spark, folder, "documents"), model_path(), with_ids=False)
+
+
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.digests(_read(spark, folder, "documents"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_spans": op2_language_spans,
+    "op3_warc_chunks": op3_warc_chunks,
     "op4_line_quality": op4_line_quality,
     "op7_fair_mix": op7_fair_mix,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_pieces": op9_pieces,
     "op10_personal_data": op10_personal_data,
 }
