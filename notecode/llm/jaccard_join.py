@@ -6,15 +6,14 @@ alone cannot tell them apart. Regions are therefore seeded by the shingles that
 of two sets with similarity t or more, the first `size - ceil(t * size) + 1` shingles in one fixed
 order have one in common. Shingles that many classes have come last in that order.
 
-Each seed is a region. A small region's pairs are compared as they are. In a large one, pivots are
-drawn and each member's distance to its pivots is computed. Members within the link distance of a
-pivot are linked to it and leave the region, unless by the triangle inequality they can still be
-linked to a member farther away; those boundary members go with the others into the next round,
-where more pivots are drawn. Pivots themselves leave, as they have met everybody. Only links to pivots
-and in small regions are made, which is enough for the components and never all pairs of a group.
+Each seed is a region. A small region's pairs are compared as they are. In a large one, all members meet
+the region's pivot; the members within the link distance become one component. Members outside the
+region's largest component go on: they are cut into blocks and meet the members of other components in
+slices. Links inside a component are never made, so no group is expanded into all its pairs.
 
-Before sets are compared, the sizes and a count of shingles per hash class give a lower bound of the
-distance; pairs beyond the link distance stop there.
+Pivots of another metric come before each comparison of sets. In the symmetric difference, the parity
+of each hash class and the size are distances to fixed pivots; by the triangle inequality they bound
+the distance of two sets from below, and pairs beyond the link distance stop there.
 
 Defined results: a NULL text or one without words has an empty set, which is linked with nothing; rows
 with a NULL `doc_id` are linked with nothing and have a NULL component; rows that share a `doc_id` are
@@ -23,6 +22,7 @@ rows. Shingles are compared by 64-bit hashes.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -41,8 +41,11 @@ BLOCK_BYTES = 2_000_000
 FREQUENT = 16  # classes; a shingle with more comes late in the order
 MOST_FREQUENT = 1 << 22  # bound of the broadcast table of frequent shingles
 SMALL_REGION = 16
-CLASSES = 32
+CLASSES = 1024
 BROADCAST_IDS = 1_000_000
+BLOCK_MEMBERS = 512
+SLICE_MEMBERS = 8192
+COMPARED_AT_ONCE = 256
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,7 +74,7 @@ def first_shingles(hashes: np.ndarray, late: np.ndarray) -> tuple[np.ndarray, np
 
 
 def document_sets(documents: DataFrame) -> DataFrame:
-    """(`doc_id`, `n_shingles`, `digest`, `first`): the size, digest and first shingles of each set."""
+    """(`doc_id`, `n_shingles`, `digest`, `first`, `sketch`) of each set, without the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
@@ -83,14 +86,24 @@ def document_sets(documents: DataFrame) -> DataFrame:
                         "n_shingles": pa.array([len(h) for h in hashes], pa.int64()),
                         "digest": pa.array([blake2b(h.tobytes(), digest_size=16).digest() for h in hashes], pa.binary()),
                         "first": _lists([first_shingles(h, none)[0] for h in hashes]),
+                        "sketch": _lists([_sketch(h) for h in hashes]),
                     }
                 )
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, f"{_id_type(documents)}, n_shingles long, digest binary, first array<long>"
+        run, f"{_id_type(documents)}, n_shingles long, digest binary, first array<long>, sketch array<long>"
     )
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """One bit per hash class: whether it has an odd number of the hashes.
+
+    An element that two sets do not share changes one bit, so no more bits can differ than elements.
+    """
+    odd = np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _parts(sets: Iterator[tuple[int, np.ndarray]], most: int = 2_000_000) -> Iterator[tuple[list, list]]:
     """The sets in lists that hold some `most` hashes."""
     rows, hashes, held = [], [], 0
@@ -156,24 +169,15 @@ def reordered(documents: DataFrame, sent: Broadcast) -> DataFrame:
 
 
 def whole_sets(documents: DataFrame) -> DataFrame:
-    """(`doc_id`, `n`, `hashes`, `counts`): the sets and their sizes by hash class."""
+    """(`doc_id`, `hashes`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, hashes in _parts(_sets(batch), 500_000):
-                counts = [np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) for h in hashes]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())),
-                        "n": pa.array([len(h) for h in hashes], pa.int64()),
-                        "hashes": _lists(hashes),
-                        "counts": pa.array([c.astype(np.int32) for c in counts], pa.list_(pa.int32())),
-                    }
-                )
+                doc_id = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "hashes": _lists(hashes)})
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"{_id_type(documents)}, n long, hashes array<long>, counts array<int>"
-    )
+    return documents.select("doc_id", "text").mapInArrow(run, f"{_id_type(documents)}, hashes array<long>")
 
 
 def small_regions(seeds: DataFrame) -> DataFrame:
@@ -244,78 +248,138 @@ def _numbered(sets: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(`a`, `b`, `far`, `distance`) of distinct pairs; for far ones the distance is a lower bound.
-
-    The sketches are narrow and are joined first; sets are joined for the pairs that are left.
-    """
-    narrow = pairs.join(_numbered(sets, "a", ["n", "counts"]), "a").join(_numbered(sets, "b", ["n", "counts"]), "b")
-    apart = F.aggregate(
-        F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d
-    )
-    both = F.col("n_a") + F.col("n_b")
-    apart = F.greatest(apart.cast("long"), F.abs(F.col("n_a") - F.col("n_b")))
-    narrow = narrow.select("a", "b", both.alias("both"), apart.alias("apart"))
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(`a`, `b`, `linkable`): whether the triangle inequality leaves a link possible."""
+    rows = pairs.join(_numbered(sketches, "a", ["n", "sketch"]), "a")
+    rows = rows.join(_numbered(sketches, "b", ["n", "sketch"]), "b")
+    bits = [F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(CLASSES // 64)]
+    apart = F.greatest(reduce(lambda x, y: x + y, bits).cast("long"), F.abs(F.col("n_a") - F.col("n_b")))
+    rows = rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), apart.alias("apart"))
     # With d elements in one set only: similarity = (both - d) / (both + d).
     linkable = 100 * (F.col("both") - F.col("apart")) >= PERCENT * (F.col("both") + F.col("apart"))
-    narrow = stored(narrow.withColumn("linkable", linkable), "bounds")
-    close = narrow.filter("linkable").select("a", "b").distinct()
-    close = close.join(_numbered(sets, "a", ["hashes"]), "a").join(_numbered(sets, "b", ["hashes"]), "b")
+    return rows.select("a", "b", linkable.alias("linkable"))
+
+
+def exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(`a`, `b`, `far`) from the sets themselves."""
+    rows = pairs.join(_numbered(sets, "a", ["hashes"]), "a").join(_numbered(sets, "b", ["hashes"]), "b")
     shared = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
-    union = F.size("hashes_a") + F.size("hashes_b") - F.col("shared")
-    exact = close.select("a", "b", "hashes_a", "hashes_b", shared.alias("shared")).select(
+    rows = rows.select("a", "b", shared.alias("shared"), (F.size("hashes_a") + F.size("hashes_b")).alias("both"))
+    union = F.col("both") - F.col("shared")
+    return rows.select(
         "a",
         "b",
         (100 * F.col("shared") < PERCENT * union).alias("far"),
-        (1 - F.col("shared") / union).alias("distance"),
     )
-    bound = 2 * F.col("apart") / (F.col("both") + F.col("apart"))
-    rest = narrow.filter("not linkable").select("a", "b", F.lit(True).alias("far"), bound.alias("distance"))
-    return exact.union(rest)
-
-
-def links_of_large_regions(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links (`a`, `b`) of regions with many members, (`shingle`, `doc_id`), in rounds of pivots."""
-    links: DataFrame | None = None
-    limit = 1 - PERCENT / 100
-    number = 0
-    while not members.isEmpty():
-        cell = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(4**number))
-        drawn = members.groupBy("shingle", cell.alias("cell")).agg(F.min("doc_id").alias("pivot"))
-        pivots = stored(drawn.select("shingle", "pivot").distinct(), "pivots")
-        spokes = stored(members.join(pivots, "shingle").filter("doc_id != pivot"), "spokes")
-        a, b = F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")
-        measured = stored(distances(spokes.select(a, b).distinct(), sets), "distances")
-        near = measured.filter("not far").select("a", "b")
-        links = near if links is None else links.union(near)
-        both = measured.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), "far", "distance").union(
-            measured.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), "far", "distance")
-        )
-        # Several rows of one document: the least distance holds.
-        both = both.groupBy("doc_id", "pivot").agg(F.min("far").alias("far"), F.min("distance").alias("distance"))
-        placed = stored(spokes.join(both, ["doc_id", "pivot"]), "placed")
-        nearest = placed.groupBy("shingle", "doc_id").agg(
-            F.min("far").alias("far"),
-            F.min(F.when(~F.col("far"), F.struct("distance", "pivot"))).alias("own"),
-        )
-        farthest = placed.join(
-            nearest.filter("far").select("shingle", "doc_id"), ["shingle", "doc_id"], "left_semi"
-        )
-        window = farthest.groupBy("shingle", "pivot").agg(F.min("distance").alias("next"))
-        window = stored(window.withColumnRenamed("pivot", "own_pivot"), "windows")
-        nearest = nearest.withColumn("own_pivot", F.col("own.pivot"))
-        boundary = nearest.join(window, ["shingle", "own_pivot"], "left").filter(
-            F.col("far") | (F.col("own.distance") >= F.col("next") - limit - 1e-9)
-        )
-        left = boundary.select("shingle", "doc_id").join(
-            pivots.withColumnRenamed("pivot", "doc_id"), ["shingle", "doc_id"], "left_anti"
-        )
-        left = stored(left, "members")
-        # Regions without a far member are done.
-        open_ = stored(nearest.filter("far").select("shingle").distinct(), "open-regions")
-        members = stored(left.join(open_, "shingle", "left_semi"), "members")
-        number += 1
-    return links
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (`shingle`, `doc_id`) with their `component` by the links so far."""
+    of_node = components(links, "regions").select(F.col("node").alias("doc_id"), "component")
+    return members.join(of_node, "doc_id", "left").select(
+        "shingle", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    )
+
+
+def links_of_large_regions(members: DataFrame, sketches: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """`links` (`a`, `b`) with those of regions with many members, (`shingle`, `doc_id`).
+
+    First each region's members meet its pivot, its least member. What is then outside a region's
+    largest component is compared with the members of all other components: blocks of such members
+    with slices of the region, of bounded size each, so that a large region takes many tasks.
+    """
+    pivots = stored(members.groupBy("shingle").agg(F.min("doc_id").alias("a")), "pivots")
+    spokes = members.join(pivots, "shingle").select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
+    near = stored(bounded(spokes, sketches).filter("linkable").select("a", "b").distinct(), "bounds")
+    links = stored(links.union(exact(near, sets).filter("not far").select("a", "b")), "links")
+
+    placed = stored(_placed(members, links), "placed")
+    sizes = placed.groupBy("shingle", "component").count()
+    regions = sizes.groupBy("shingle").agg(
+        F.max(F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("count").alias("all")
+    )
+    regions = regions.filter("n > 1").select(
+        "shingle",
+        F.col("largest.component").alias("largest"),
+        F.ceil((F.col("all") - F.col("largest.count")) / BLOCK_MEMBERS).cast("int").alias("n_blocks"),
+        F.ceil(F.col("all") / SLICE_MEMBERS).cast("int").alias("n_slices"),
+    )
+    open_ = placed.join(stored(regions, "open-regions"), "shingle")
+    block = F.pmod(F.hash("doc_id"), F.col("n_blocks"))
+    part = F.pmod(F.hash(F.lit(1), "doc_id"), F.col("n_slices"))
+    all_blocks = F.sequence(F.lit(0), F.col("n_blocks") - 1)
+    all_parts = F.sequence(F.lit(0), F.col("n_slices") - 1)
+    rows = ["shingle", "doc_id", "component"]
+    outside = open_.filter("component != largest").select(
+        *rows, F.lit(False).alias("member"), block.alias("block"), F.explode(all_parts).alias("part")
+    )
+    inside = open_.select(*rows, F.lit(True).alias("member"), F.explode(all_blocks).alias("block"), part.alias("part"))
+    compared = outside.union(inside).join(sets, "doc_id")
+    found = (
+        compared.repartition("shingle", "block", "part")
+        .sortWithinPartitions("shingle", "block", "part", "member")
+        .mapInArrow(_compare, f"a {_kind(members)}, b {_kind(members)}")
+    )
+    return stored(links.union(found.distinct()), "links")
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the block rows and the member rows of each (`shingle`, `block`, `part`).
+
+    Block rows come first and are held; member rows are only passed by. A pair that the links found
+    here already connect is skipped.
+    """
+    key, held, roots = None, [], {}
+    sketches = sizes = None
+
+    def root(x):
+        while x in roots:
+            x = roots[x]
+        return x
+
+    for batch in batches:
+        table = {c: batch.column(c).to_pylist() for c in ("shingle", "block", "part", "member", "doc_id", "component")}
+        sets = [np.sort(h.values.to_numpy().view(np.uint64)) for h in batch.column("hashes")]
+        marks = [_sketch(h) for h in sets]
+        keys = list(zip(table["shingle"], table["block"], table["part"]))
+        links = []
+        i = 0
+        while i < len(keys):
+            if keys[i] != key:
+                key, held, roots, sketches = keys[i], [], {}, None
+            if not table["member"][i]:
+                held.append((table["doc_id"][i], table["component"][i], sets[i], marks[i]))
+                i += 1
+                continue
+            if sketches is None:
+                sketches = np.array([h[3] for h in held]).reshape(len(held), -1)
+                sizes = np.array([len(h[2]) for h in held], np.int64)
+            j = i
+            while j < len(keys) and keys[j] == key and j - i < COMPARED_AT_ONCE:
+                j += 1
+            if held:
+                mine = np.array(marks[i:j])
+                apart = np.bitwise_count(sketches[:, None] ^ mine[None]).sum(-1, dtype=np.int64)
+                n = np.array([len(h) for h in sets[i:j]], np.int64)
+                both = sizes[:, None] + n[None]
+                apart = np.maximum(apart, np.abs(sizes[:, None] - n[None]))
+                for u, m in np.argwhere(100 * (both - apart) >= PERCENT * (both + apart)).tolist():
+                    doc, component, hashes, _ = held[u]
+                    x, y = root(component), root(table["component"][i + m])
+                    if x == y:
+                        continue
+                    shared = len(np.intersect1d(hashes, sets[i + m], assume_unique=True))
+                    if 100 * shared >= PERCENT * (len(hashes) + len(sets[i + m]) - shared):
+                        roots[x] = y
+                        links.append((doc, table["doc_id"][i + m]))
+            i = j
+        kind = batch.column("doc_id").type
+        columns = list(zip(*links)) if links else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], ["a", "b"])
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -325,23 +389,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     filled = sets.filter("doc_id is not null and n_shingles > 0")
     # Equal sets have equal first shingles, so any of them will do.
     classes = filled.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("first").alias("first")
+        F.min("doc_id").alias("doc_id"),
+        F.first("n_shingles").alias("n"),
+        F.first("first").alias("first"),
+        F.first("sketch").alias("sketch"),
     )
     classes = stored(classes, "classes")
     late = frequent_shingles(classes).toArrow().column("shingle").to_numpy().view(np.uint64)
     seeds, large = _seeds(documents, classes, late)
     found = stored(small_regions(seeds), "regions")
-    pairs = stored(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    pairs = found.filter("b is not null").select("a", "b").distinct()
+    pairs = stored(bounded(pairs, classes).filter("linkable").select("a", "b").distinct(), "pairs")
     members = found.filter("b is null").select("shingle", F.col("a").alias("doc_id"))
     members = stored(members.union(large.select("shingle", "doc_id")).distinct(), "members")
-    alone = members.groupBy("shingle").count().filter("count = 1").select("shingle")
-    members = stored(members.join(stored(alone, "alone"), "shingle", "left_anti"), "members")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id"))
     wanted = stored(wanted.distinct(), "wanted")
-    chosen = stored(whole_sets(only(documents, wanted, "doc_id")).filter("n > 0").distinct(), "chosen-sets")
-    links = distances(pairs, chosen).filter("not far").select("a", "b")
-    more = links_of_large_regions(members, chosen)
-    links = links if more is None else links.union(more)
+    chosen = only(documents, wanted, "doc_id")
+    chosen = stored(whole_sets(chosen).filter(F.size("hashes") > 0).distinct(), "chosen-sets")
+    links = stored(exact(pairs, chosen).filter("not far").select("a", "b"), "links")
+    links = links_of_large_regions(members, classes, chosen, links)
     of_node = components(links, "documents").select(F.col("node").alias("doc_id"), "component")
     # Rows that share an id share its component, whichever class they are of.
     own = classes.select("digest", "doc_id").join(of_node, "doc_id", "left")

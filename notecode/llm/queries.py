@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notecode.llm import language, line_quality, mixing, personal_data, pieces, unit_dedup, warc
+from notecode.llm import jaccard_join, language, line_quality, mixing, personal_data, pieces, unit_dedup, warc
 
 
 def model_path() -> str:
@@ -30,6 +30,10 @@ def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.verdicts(_read(spark, folder, "documents"))
 
 
+def op6_jaccard_regions(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, folder, "documents"))
+
+
 def op7_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(_read(spark, folder, "documents"))
 
@@ -50,6 +54,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_spans": op2_language_spans,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_line_quality": op4_line_quality,
+    "op6_jaccard_regions": op6_jaccard_regions,
     "op7_fair_mix": op7_fair_mix,
     "op8_line_dedup": op8_line_dedup,
     "op9_pieces": op9_pieces,
