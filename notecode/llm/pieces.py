@@ -110,12 +110,16 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(documents: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
+def encode(
+    documents: DataFrame, model_path: str, with_ids: bool = True, with_decoded: bool = True
+) -> DataFrame:
     """(`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256` and, if asked for, `ids`, `decoded`)."""
     kept = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}"
     schema = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
-        schema += ", ids array<long>, decoded string"
+        schema += ", ids array<int>"
+    if with_decoded:
+        schema += ", decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_path)
@@ -131,7 +135,8 @@ def encode(documents: DataFrame, model_path: str, with_ids: bool = True) -> Data
                     "decoded_sha256": pa.array([sha256(t.encode()).hexdigest() for t in decoded]),
                 }
                 if with_ids:
-                    out["ids"] = pa.array([one.astype(np.int64) for one in ids], pa.list_(pa.int64()))
+                    out["ids"] = pa.array([one.view(np.int32) for one in ids], pa.list_(pa.int32()))
+                if with_decoded:
                     out["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 

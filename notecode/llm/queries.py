@@ -4,20 +4,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notecode.llm import jaccard_join, language, line_quality, mixing, personal_data, pieces, unit_dedup, warc
-
-
-def model_path() -> str:
-    """The public SentencePiece model; it has the same path on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+import corpus_pipeline
+from notecode.llm import cotraining, embedding_join, jaccard_join, language, line_quality, mixing, personal_data, pieces, unit_dedup, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.quality_scores(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op2_language_spans(spark: SparkSession, folder: str) -> DataFrame:
     return language.predictions(_read(spark, folder, "documents"))
 
@@ -30,6 +28,10 @@ def op4_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality.verdicts(_read(spark, folder, "documents"))
 
 
+def op5_grid_order(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_join.near_duplicates(_read(spark, folder, "embeddings"))
+
+
 def op6_jaccard_regions(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, folder, "documents"))
 
@@ -43,7 +45,7 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.encode(_read(spark, folder, "documents"), model_path(), with_ids=False)
+    return pieces.encode(_read(spark, folder, "documents"), corpus_pipeline.model_path(), with_ids=False, with_decoded=False)
 
 
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,12 +53,15 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op2_language_spans": op2_language_spans,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_line_quality": op4_line_quality,
+    "op5_grid_order": op5_grid_order,
     "op6_jaccard_regions": op6_jaccard_regions,
     "op7_fair_mix": op7_fair_mix,
     "op8_line_dedup": op8_line_dedup,
     "op9_pieces": op9_pieces,
     "op10_personal_data": op10_personal_data,
+    "pipeline": corpus_pipeline.run,
 }

@@ -31,6 +31,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def word_places(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes begin and end; the last byte is a blank."""
+    blank = _IS_BLANK[joined]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
+    return edges[0::2], edges[1::2]
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hashes of all words of the texts, and where each text's words begin.
 
@@ -38,9 +45,7 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     callers pass blocks of bounded size; a single longer text is handled whole.
     """
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = _IS_BLANK[joined]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
+    starts, ends = word_places(joined)
     power, inverse = _powers(len(joined) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[joined] * power[:-1])])
     length = (ends - starts).astype(np.uint64)
