@@ -8,8 +8,8 @@ order have one in common. Shingles that many classes have come last in that orde
 
 Each seed is a region. A small region's pairs are compared as they are. In a large one, all members meet
 the region's pivot; the members within the link distance become one component. Members outside the
-region's largest component go on: they are cut into blocks and meet the members of other components in
-slices. Links inside a component are never made, so no group is expanded into all its pairs.
+region's largest component go on: some of them are further pivots, the rest is cut into blocks that meet
+the members of other components in slices. Links inside a component are never made, so no group is expanded into all its pairs.
 
 Pivots of another metric come before each comparison of sets. In the symmetric difference, the parity
 of each hash class and the size are distances to fixed pivots; by the triangle inequality they bound
@@ -46,6 +46,7 @@ BROADCAST_IDS = 1_000_000
 BLOCK_MEMBERS = 512
 SLICE_MEMBERS = 8192
 COMPARED_AT_ONCE = 256
+MORE_PIVOTS = 16
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -281,19 +282,16 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def links_of_large_regions(members: DataFrame, sketches: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """`links` (`a`, `b`) with those of regions with many members, (`shingle`, `doc_id`).
+def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) among the pairs, by the whole sets of the documents in them."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = whole_sets(only(documents, wanted, "doc_id")).filter(F.size("hashes") > 0)
+    sets = stored(sets.distinct(), "whole-sets")
+    return exact(pairs, sets).filter("not far").select("a", "b")
 
-    First each region's members meet its pivot, its least member. What is then outside a region's
-    largest component is compared with the members of all other components: blocks of such members
-    with slices of the region, of bounded size each, so that a large region takes many tasks.
-    """
-    pivots = stored(members.groupBy("shingle").agg(F.min("doc_id").alias("a")), "pivots")
-    spokes = members.join(pivots, "shingle").select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
-    near = stored(bounded(spokes, sketches).filter("linkable").select("a", "b").distinct(), "bounds")
-    links = stored(links.union(exact(near, sets).filter("not far").select("a", "b")), "links")
 
-    placed = stored(_placed(members, links), "placed")
+def _regions(placed: DataFrame) -> DataFrame:
+    """The regions with members of several components, and the largest of these components."""
     sizes = placed.groupBy("shingle", "component").count()
     regions = sizes.groupBy("shingle").agg(
         F.max(F.struct("count", "component")).alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("count").alias("all")
@@ -304,7 +302,32 @@ def links_of_large_regions(members: DataFrame, sketches: DataFrame, sets: DataFr
         F.ceil((F.col("all") - F.col("largest.count")) / BLOCK_MEMBERS).cast("int").alias("n_blocks"),
         F.ceil(F.col("all") / SLICE_MEMBERS).cast("int").alias("n_slices"),
     )
-    open_ = placed.join(stored(regions, "open-regions"), "shingle")
+    return stored(regions, "open-regions")
+
+
+def pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each region's pivot, its least member, with its other members."""
+    pivots = stored(members.groupBy("shingle").agg(F.min("doc_id").alias("a")), "pivots")
+    return members.join(pivots, "shingle").select("a", F.col("doc_id").alias("b")).filter("a < b").distinct()
+
+
+def more_pivot_pairs(placed: DataFrame) -> DataFrame:
+    """Up to `MORE_PIVOTS` members outside the largest component, with the members of other components."""
+    outside = placed.join(_regions(placed), "shingle").filter("component != largest")
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(MORE_PIVOTS))
+    drawn = outside.groupBy("shingle", cell.alias("cell")).agg(F.min(F.struct("doc_id", "component")).alias("p"))
+    pivots = stored(drawn.select("shingle", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("own")), "pivots")
+    met = placed.join(pivots, "shingle").filter("component != own")
+    return met.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+
+
+def remaining_pairs(placed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of a member outside the largest component and one of another component that may be links.
+
+    Blocks of the former meet slices of the region, both of bounded size, so that a large region takes
+    many tasks.
+    """
+    open_ = placed.join(_regions(placed), "shingle")
     block = F.pmod(F.hash("doc_id"), F.col("n_blocks"))
     part = F.pmod(F.hash(F.lit(1), "doc_id"), F.col("n_slices"))
     all_blocks = F.sequence(F.lit(0), F.col("n_blocks") - 1)
@@ -314,13 +337,14 @@ def links_of_large_regions(members: DataFrame, sketches: DataFrame, sets: DataFr
         *rows, F.lit(False).alias("member"), block.alias("block"), F.explode(all_parts).alias("part")
     )
     inside = open_.select(*rows, F.lit(True).alias("member"), F.explode(all_blocks).alias("block"), part.alias("part"))
-    compared = outside.union(inside).join(sets, "doc_id")
     found = (
-        compared.repartition("shingle", "block", "part")
+        outside.union(inside)
+        .join(sketches, "doc_id")
+        .repartition("shingle", "block", "part")
         .sortWithinPartitions("shingle", "block", "part", "member")
-        .mapInArrow(_compare, f"a {_kind(members)}, b {_kind(members)}")
+        .mapInArrow(_compare, f"a {_kind(placed)}, b {_kind(placed)}")
     )
-    return stored(links.union(found.distinct()), "links")
+    return stored(found.distinct(), "remaining-pairs")
 
 
 def _kind(rows: DataFrame) -> str:
@@ -328,57 +352,42 @@ def _kind(rows: DataFrame) -> str:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the block rows and the member rows of each (`shingle`, `block`, `part`).
+    """Possible links between the block rows and the member rows of each (`shingle`, `block`, `part`).
 
-    Block rows come first and are held; member rows are only passed by. A pair that the links found
-    here already connect is skipped.
+    Block rows come first and are held; member rows only pass by.
     """
-    key, held, roots = None, [], {}
-    sketches = sizes = None
-
-    def root(x):
-        while x in roots:
-            x = roots[x]
-        return x
-
+    key, held, block = None, [], None
     for batch in batches:
-        table = {c: batch.column(c).to_pylist() for c in ("shingle", "block", "part", "member", "doc_id", "component")}
-        sets = [np.sort(h.values.to_numpy().view(np.uint64)) for h in batch.column("hashes")]
-        marks = [_sketch(h) for h in sets]
+        names = ("shingle", "block", "part", "member", "doc_id", "component", "n")
+        table = {c: batch.column(c).to_pylist() for c in names}
         keys = list(zip(table["shingle"], table["block"], table["part"]))
-        links = []
+        marks = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
+        pairs: list[tuple] = []
         i = 0
         while i < len(keys):
             if keys[i] != key:
-                key, held, roots, sketches = keys[i], [], {}, None
+                key, held, block = keys[i], [], None
             if not table["member"][i]:
-                held.append((table["doc_id"][i], table["component"][i], sets[i], marks[i]))
+                held.append((table["doc_id"][i], table["component"][i], table["n"][i], marks[i]))
                 i += 1
                 continue
-            if sketches is None:
-                sketches = np.array([h[3] for h in held]).reshape(len(held), -1)
-                sizes = np.array([len(h[2]) for h in held], np.int64)
+            if block is None:
+                block = np.array([h[3] for h in held]).reshape(len(held), -1), np.array([h[2] for h in held], np.int64)
             j = i
             while j < len(keys) and keys[j] == key and j - i < COMPARED_AT_ONCE:
                 j += 1
             if held:
-                mine = np.array(marks[i:j])
-                apart = np.bitwise_count(sketches[:, None] ^ mine[None]).sum(-1, dtype=np.int64)
-                n = np.array([len(h) for h in sets[i:j]], np.int64)
-                both = sizes[:, None] + n[None]
-                apart = np.maximum(apart, np.abs(sizes[:, None] - n[None]))
+                n = np.array(table["n"][i:j], np.int64)
+                apart = np.bitwise_count(block[0][:, None] ^ marks[None, i:j]).sum(-1, dtype=np.int64)
+                apart = np.maximum(apart, np.abs(block[1][:, None] - n[None]))
+                both = block[1][:, None] + n[None]
                 for u, m in np.argwhere(100 * (both - apart) >= PERCENT * (both + apart)).tolist():
-                    doc, component, hashes, _ = held[u]
-                    x, y = root(component), root(table["component"][i + m])
-                    if x == y:
-                        continue
-                    shared = len(np.intersect1d(hashes, sets[i + m], assume_unique=True))
-                    if 100 * shared >= PERCENT * (len(hashes) + len(sets[i + m]) - shared):
-                        roots[x] = y
-                        links.append((doc, table["doc_id"][i + m]))
+                    if held[u][1] != table["component"][i + m]:
+                        x, y = held[u][0], table["doc_id"][i + m]
+                        pairs.append((min(x, y), max(x, y)))
             i = j
         kind = batch.column("doc_id").type
-        columns = list(zip(*links)) if links else [[], []]
+        columns = list(zip(*set(pairs))) if pairs else [[], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in columns], ["a", "b"])
 
 
@@ -387,27 +396,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     sets = stored(document_sets(documents), "sets")
     filled = sets.filter("doc_id is not null and n_shingles > 0")
-    # Equal sets have equal first shingles, so any of them will do.
-    classes = filled.groupBy("digest").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.first("n_shingles").alias("n"),
-        F.first("first").alias("first"),
-        F.first("sketch").alias("sketch"),
-    )
-    classes = stored(classes, "classes")
-    late = frequent_shingles(classes).toArrow().column("shingle").to_numpy().view(np.uint64)
-    seeds, large = _seeds(documents, classes, late)
+    classes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "classes")
+    ids = stored(classes.select("doc_id").distinct(), "class-ids")
+    representatives = only(filled, ids, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), "first", "sketch")
+    sketches = stored(representatives.select("doc_id", "n", "sketch").distinct(), "sketches")
+    late = frequent_shingles(representatives).toArrow().column("shingle").to_numpy().view(np.uint64)
+    seeds, large = _seeds(documents, representatives, late)
     found = stored(small_regions(seeds), "regions")
-    pairs = found.filter("b is not null").select("a", "b").distinct()
-    pairs = stored(bounded(pairs, classes).filter("linkable").select("a", "b").distinct(), "pairs")
     members = found.filter("b is null").select("shingle", F.col("a").alias("doc_id"))
     members = stored(members.union(large.select("shingle", "doc_id")).distinct(), "members")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(members.select("doc_id"))
-    wanted = stored(wanted.distinct(), "wanted")
-    chosen = only(documents, wanted, "doc_id")
-    chosen = stored(whole_sets(chosen).filter(F.size("hashes") > 0).distinct(), "chosen-sets")
-    links = stored(exact(pairs, chosen).filter("not far").select("a", "b"), "links")
-    links = links_of_large_regions(members, classes, chosen, links)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return stored(bounded(pairs, sketches).filter("linkable").select("a", "b").distinct(), "possible")
+
+    small = found.filter("b is not null").select("a", "b").distinct()
+    links = stored(verified(documents, possible(small.union(pivot_pairs(members)))), "links")
+    placed = stored(_placed(members, links), "placed")
+    links = stored(links.union(verified(documents, possible(more_pivot_pairs(placed)))), "links")
+    placed = stored(_placed(members, links), "placed")
+    links = stored(links.union(verified(documents, remaining_pairs(placed, sketches))), "links")
     of_node = components(links, "documents").select(F.col("node").alias("doc_id"), "component")
     # Rows that share an id share its component, whichever class they are of.
     own = classes.select("digest", "doc_id").join(of_node, "doc_id", "left")
