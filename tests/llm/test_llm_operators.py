@@ -1,0 +1,351 @@
+"""The training-data operators on small rows, against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from notecode.llm import (
+    components,
+    cotraining,
+    embedding_join,
+    jaccard_join,
+    language,
+    line_quality,
+    mixing,
+    personal_data,
+    pieces,
+    unit_dedup,
+    warc,
+)
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+BLANK = r"[\x20\x09-\x0D]+"
+
+
+def words(text):
+    return [w for w in re.split(BLANK, text or "") if w]
+
+
+def documents(spark, texts, **more):
+    rows = [
+        (i, t, more.get("lang", ["en"] * len(texts))[i], more.get("source", ["a"] * len(texts))[i], len(t or ""))
+        for i, t in enumerate(texts)
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(400)]
+    base = [" ".join(draw.choice(vocabulary) for _ in range(draw.randint(3, 90))) for _ in range(60)]
+    near = []
+    for text in base[:25]:
+        some = text.split()
+        some[draw.randrange(len(some))] = "changed"
+        near.append(" ".join(some))
+    passage = " ".join(draw.choice(vocabulary) for _ in range(60))
+    odd = [None, "", "  \n\t ", "One two", "one TWO", passage + "\n" + base[30], base[31] + "\n" + passage, base[0], base[0]]
+    return base + near + odd + [f"{passage} {k} tail" for k in range(30)]
+
+
+def test_components_of_chains_and_stars(spark):
+    draw = random.Random(1)
+    names = draw.sample(range(1000), 120)
+    links = [(a, b) for a, b in zip(names[:60], names[1:60])] + [(names[60], x) for x in names[61:]] + [(7, 7)]
+    found = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    expected = {**dict.fromkeys(names[:60], min(names[:60])), **dict.fromkeys(names[60:], min(names[60:]))}
+    assert {k: v for k, v in found.items() if k in expected} == expected
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shingle_set(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = words(low)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_expected(texts):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {(i, len(s), find(i)) for i, s in enumerate(sets)}
+
+
+@pytest.mark.parametrize("frequent, small", [(16, 16), (2, 3)])
+def test_jaccard_join_is_exact(spark, texts, monkeypatch, frequent, small):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", small)
+    found = jaccard_join.near_duplicates(documents(spark, texts))
+    assert {tuple(r) for r in found.collect()} == jaccard_expected(texts)
+
+
+def test_jaccard_join_of_odd_rows(spark):
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (2, "A B C D E F")]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(None, 2, None), (3, 2, 2), (3, 2, 2), (4, 0, 4), (2, 2, 2)], key=str
+    )
+    assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_embedding_join_is_exact(spark):
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(40, 12))
+    vectors = [*base, *(base[:20] + draw.normal(scale=0.2, size=(20, 12))), *([base[3]] * 5)]
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate(vectors)]
+    rows += [(100, None, 0), (101, [0.0] * 12, 0), (102, [float("nan")] * 12, 1), (103, [None] * 12, 1), (104, rows[0][1], None), (105, [1.0, 2.0], 0), (106, [], 0)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_join.near_duplicates(frame).collect()}
+    usable = [r for r in rows if r[0] < 100]
+    links = {r[0]: set() for r in rows}
+    for a in usable:
+        for b in usable:
+            x, y = np.array(a[1]), np.array(b[1])
+            if a[0] != b[0] and a[2] == b[2] and x @ y / np.sqrt(x @ x) / np.sqrt(y @ y) >= 0.93:
+                links[a[0]].add(b[0])
+    for node in links:
+        seen, todo = {node}, [node]
+        while todo:
+            for x in links[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        assert found[node] == (len(links[node]), min(seen), node == min(seen))
+    assert embedding_join.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_blocks_of_any_size_give_the_same_links(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_join, "BLOCK", block)
+    rows = [(i, [math.cos(i / 9), math.sin(i / 9), 0.1], 1) for i in range(50)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    counts = {r.vec_id: r.n_links for r in embedding_join.near_duplicates(frame).collect()}
+    m = np.array([r[1] for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert counts == {i: int(n) - 1 for i, n in enumerate((m @ m.T >= 0.93).sum(1))}
+
+
+def test_pieces_equal_the_library(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("piece_bpe_32k.model")
+    values = [None, "", " ", "a ", " a", "a  b   ", "▁", "a▁b ▁", "x\x00\ty\r\n z", "日本語 テキスト 🙂", "w" * 3000, "word " * 2000]
+    model = pieces.ChunkTable(path).model
+    for row in pieces.encode(documents(spark, values), path).collect():
+        text = values[row.doc_id] or ""
+        ids = model.encode(text, add_bos=True, add_eos=True)
+        assert (list(row.ids), row.n_tokens) == (ids, len(ids)), repr(text)
+        assert row.decoded == model.decode(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(row.decoded.encode()).hexdigest()
+
+
+def test_languages_and_spans(spark):
+    rows = ["the house and the river", "das haus und der fluss ist gross", "дом и река", None, "12 34", ""] * 8
+    langs = ["en", "de", "ru", "en", None, "de"] * 8
+    docs = documents(spark, rows, lang=langs)
+    model = language.learn(docs)
+    found = language.label_texts(model, ["the river and the house das haus ist gross und der fluss дом и река", "?", ""])
+    assert [s[2] for s in found[0][2]] == ["en", "de", "ru"]
+    assert found[1] == found[2] == ("und", 0.0, [])
+    result = {r.doc_id: r for r in language.predictions(docs).collect()}
+    assert [result[i].lang_pred for i in range(6)] == ["en", "de", "ru", "und", "und", "und"]
+    assert all(0 <= r.score <= 1 for r in result.values())
+    assert language.predictions(docs.limit(0)).count() == 0
+
+
+def test_viterbi_is_the_best_path():
+    draw = np.random.default_rng(0)
+    sizes = [0, 1, 5, 64, 65, 200, 0, 131]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    scores = draw.normal(size=(bounds[-1], 3)).astype(np.float32) * 2
+    found = language.viterbi(scores, bounds, 1.5)
+    for a, b in zip(bounds, bounds[1:]):
+        best, back = np.zeros(3), []
+        for row in scores[a:b].astype(float):
+            moved = best.max() - 1.5
+            back.append(np.where(best >= moved, np.arange(3), best.argmax()))
+            best = np.maximum(best, moved) + row
+        path = found[a:b]
+        if b > a:
+            worth = scores[np.arange(a, b), path].astype(float).sum() - 1.5 * (np.diff(path) != 0).sum()
+            assert worth == pytest.approx(best.max())
+
+
+def test_warc_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 500)
+    big, other = "é" * 700, "x" * 2500
+    rows = [(1, "http://a/\r\nb c", big), (2, None, big), (3, "u", other), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", big), (None, "u", big)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    records = warc.chunk_rows(warc.revisits(pages), 100)
+    from notecode.sources.shared_folder import new_path
+
+    manifest = warc.write_archives(records, new_path(spark, "warc"), 500)
+    assert manifest.count() > 1
+    chunks = warc.read_archives(manifest, 64).collect()
+    for key, _, html in rows:
+        own = sorted((c for c in chunks if c.record_id == (None if key is None else str(key))), key=lambda c: c.chunk_no)
+        data = (html or "").encode()
+        assert (own[-1].payload_bytes, own[-1].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+        if own[0].record_type == "response":
+            assert b"".join(c.chunk for c in own) == data and own[-1].digest_ok
+            assert max(len(c.chunk) for c in own) <= 64
+    result = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()}
+    assert result == {
+        1: ("revisit", 7), 2: ("revisit", 7), 3: ("response", None), 4: ("response", None),
+        5: ("response", None), 6: ("response", None), 7: ("response", None), None: ("revisit", 7),
+    }
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        d *= 1 + i % 2
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m.group())]
+
+
+def test_personal_data_equals_plain_search(spark):
+    draw = random.Random(2)
+    parts = ["a@b.co", "@d.e", "_x@y.z.w", "1.2.3.4", ".5", "256.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "4111111111111111", "+1 (555) 123-4567", "+49", " ", "é🙂", "-", "12", "\n", "DE89 3704 0044 0532 0130 00", "ssn 123-45-6789", "x", "+", "."]
+    values = ["".join(draw.choices(parts, k=draw.randint(1, 14))) for _ in range(300)]
+    values += [None, "", "1" * 5000, "a" * 5000 + "@", "a@b." * 2000, "+1" + "-2" * 3000]
+    for row in personal_data.digests(documents(spark, values)).collect():
+        text = values[row.doc_id] or ""
+        spans = base_spans(text)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), repr(text[:200])
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == n for k, _, _ in spans) for n in personal_data.BASE_KINDS]
+        assert row.spans.startswith(listed)
+
+
+def test_masking(spark):
+    docs = documents(spark, ["my mail a@b.co!", "iban DE89 3704 0044 0532 0130 00.", None, "ssn 123-45-6789, or 123-45-6789x", "é 1.2.3.4 a@b.co"])
+    docs = docs.withColumn("_extra", docs.text)
+    found = {r.doc_id: (r.text, r.n_chars) for r in personal_data.mask(docs).collect()}
+    assert found[0] == ("my mail [EMAIL]!", 16)
+    assert found[1][0] == "iban [IBAN]."
+    assert found[2] == (None, 0)
+    assert found[3][0].startswith("ssn [SSN], or")
+    assert found[4][0] == "é [IP] [EMAIL]"
+    assert personal_data.mask(docs).columns == docs.columns
+
+
+def test_line_quality_equals_plain_counts(spark, texts):
+    line = "A well formed line of text, with more than ten words in it for sure."
+    values = [*texts, "\n".join([line] * 3), "a b c d e a b c d e", "x " * 40, f"{line}\nHome\nHome\n| | |", "#*$ <>&|% word", "Menu\n" * 30]
+    for row in line_quality.judge(documents(spark, values)).collect():
+        text = values[row.doc_id] or ""
+        w = words(text)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        many = {x for x in windows if windows.count(x) > 1}
+        again = {i + k for i, x in enumerate(windows) if x in many for k in range(5)}
+        lines = [x for x in text.split("\n") if words(x)]
+        failed = len(w) < 10 or 100 * len(again) > 20 * len(w)
+        assert (row.n_words, row.word_chars) == (len(w), sum(map(len, w)))
+        assert row.n_symbols == len(re.findall(r"[#*$%&|<>]", text))
+        assert row.n_dup_lines == len(lines) - len(set(lines))
+        assert (row.n_repeat_words, row.base_failed) == (len(again), failed)
+        assert not (failed and row.kept)
+
+
+def test_lines_are_removed_first(spark):
+    good = "This is a sentence that stays because it is complete and has words enough."
+    more = "Another one follows, which says something else and ends well."
+    text = f"Home\n{good}\nAll rights reserved by us, truly.\n{more}"
+    rows = line_quality.judge(documents(spark, [text, "Menu a b\n" * 12])).orderBy("doc_id").collect()
+    assert rows[0].clean_text == f"{good}\n{more}" and rows[0].kept and rows[0].n_lines_removed == 2
+    assert not rows[1].kept
+
+
+def test_mix_meets_targets(spark):
+    draw = random.Random(4)
+    sources = [draw.choice(["a", "a", "a", "b", "c", None]) for _ in range(600)]
+    values = [("w " * draw.randint(0, 20)) or None for _ in range(600)]
+    docs = documents(spark, values, source=sources)
+    first = {tuple(r) for r in mixing.mixed_sizes(docs).collect()}
+    assert first == {tuple(r) for r in mixing.mixed_sizes(docs.repartition(7)).collect()}
+    by_source = {}
+    for doc, size, source_size, target, taken in first:
+        assert size == len(words(values[doc])) and taken in (0, size, 2 * size, 3 * size)
+        s = by_source.setdefault(sources[doc], [source_size, target, 0, 0])
+        s[2] += size
+        s[3] += taken
+    order = sorted(by_source, key=lambda s: (s is None, s))
+    total, weights = sum(s[2] for s in by_source.values()), dict(zip(order, [5, 2, 1, 5]))
+    fixed: dict = {}
+    while True:
+        rest = [s for s in order if s not in fixed]
+        level = (total - sum(fixed.values())) / sum(weights[s] for s in rest)
+        above = [s for s in rest if level * weights[s] > 3 * by_source[s][2]]
+        if not above:
+            break
+        fixed.update({s: 3 * by_source[s][2] for s in above})
+    for s in order:
+        source_size, target, size, taken = by_source[s]
+        assert source_size == size and target == pytest.approx(fixed.get(s, level * weights[s]))
+        assert abs(taken - target) <= 20
+    assert mixing.mixed(docs).count() == sum(t // s for _, s, _, _, t in first if s)
+    assert mixing.mixed_sizes(docs.limit(0)).count() == 0
+
+
+def test_units_keep_their_first_place(spark, texts):
+    values = ["one two three four five six seven eight nine\nshort\n", "x\nOne  two three four five six seven eight nine", None, ""]
+    rows = unit_dedup.repeated_units(documents(spark, values)).collect()
+    assert [(r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in rows] == [(1, 2, len(values[1]), 0, 0)]
+    cleaned = {r.doc_id: r.clean_text for r in unit_dedup.without_repeats(documents(spark, values)).collect()}
+    assert cleaned == {0: values[0], 1: "x\n", 2: None, 3: ""}
+    seen, expected = set(), set()
+    for i, text in enumerate(texts):
+        at = 0
+        for line in (text or "").splitlines(keepends=True):
+            key = tuple(line.lower().split())
+            if len(key) >= unit_dedup.MIN_WORDS:
+                expected |= {(i, at)} if key in seen else set()
+                seen.add(key)
+            at += len(line)
+    assert {(r.doc_id, r.start) for r in unit_dedup.repeated_units(documents(spark, texts)).collect()} == expected
+
+
+def test_cotraining_learns_from_both_views(spark):
+    draw = random.Random(9)
+    good, bad = ["river", "house", "window", "garden"], ["buy!!", "win$$", "click%%", "free##"]
+    rows, labels = [], []
+    for i in range(600):
+        y = i % 2
+        rows.append((i, " ".join(draw.choices(good if y else bad, k=30)), None, "s1" if y else "s2", 100))
+        if i % 3 == 0:
+            labels.append((i, y))
+    rows += [(1000, None, None, None, None), (1001, "", "en", "s1", 0)]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id bigint, quality int")
+    found = {r.doc_id: r for r in cotraining.quality_scores(docs, known).collect()}
+    assert len(found) == 602 and all(0 <= r.score <= 1 for r in found.values())
+    assert all(found[i].kept == bool(i % 2) for i in range(600))
+    assert all((found[i].p_meta >= 0.5) == bool(i % 2) for i in range(600))
+    nothing = cotraining.quality_scores(docs, known.limit(0)).collect()
+    assert {r.score for r in nothing} == {1.0}
