@@ -24,9 +24,9 @@ _PARSED = T.StructType(
         T.StructField("das", T.ArrayType(T.StringType())),
     ]
 )
-# JSON-only words; back-slash escapes, which the two notations read differently; and a bracket after
+# A line break and blanks before the first bracket, which Python takes for an indent; JSON-only words; back-slash escapes, which the two notations read differently; and a bracket after
 # a dict, which may close the array the cell is read in.
-_NOT_SHARED = r"\b(null|true|false|NaN|Infinity|INF)\b|\\|\}\s*\]"
+_NOT_SHARED = r"^[^{]*[\r\n][ \t\f]+\{|\b(null|true|false|NaN|Infinity|INF)\b|\\|\}\s*\]"
 
 
 def fold_python_dict(cell: str | None) -> dict | None:

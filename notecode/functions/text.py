@@ -54,7 +54,7 @@ def first_word(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words, without empty ones."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{_BLANK}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:

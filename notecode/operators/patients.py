@@ -4,10 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notecode.functions.text import is_filled, truncate_code
-from notecode.operators.joins import lookup_join
-from notecode.operators.ranking import rank_in_group
 
-DOCUMENTS_PER_ROW = 2_000
+DOCUMENTS_PER_STRETCH = 1_000
+MOST_BYTES = 2_000_000_000
 
 
 def patient_notes(patients: DataFrame, pool: str) -> DataFrame:
@@ -31,32 +30,31 @@ def group_documents(
     key: str = "patient_id",
     order: str = "document_no",
     text: str = "note_text",
-    rows_per_part: int = DOCUMENTS_PER_ROW,
+    stretch: int = DOCUMENTS_PER_STRETCH,
 ) -> DataFrame:
-    """Join the texts of each patient in order: (`key`, `part`, `n_documents`, `text`).
+    """Join the texts of each patient in order: (`key`, `n_documents`, `text`), one row per patient.
 
-    A patient fills one row, `part` 0. Beyond `rows_per_part` documents the text goes on in further
-    parts, so that neither a task nor a row has to hold a patient of any size. `order` is a
-    non-negative number that is unique within a patient.
+    Stretches of a patient's documents are joined first, then the stretches in order; their width
+    changes the layout only. `order` is a non-negative number that is unique within a patient. A
+    patient whose text is more than a row can hold is an error.
     """
-    counts = documents.groupBy(key).agg(F.count("*").alias("_n"))
-    large = counts.filter(F.col("_n") > rows_per_part).select(key)
-    if large.isEmpty():
-        placed = documents.withColumn("part", F.lit(0).cast("long"))
-    else:
-        marked = lookup_join(
-            documents, large.withColumn("_large", F.lit(True)), [key], "left", salt_by=[key, order]
-        )
-        small = marked.filter(F.col("_large").isNull()).withColumn("part", F.lit(0).cast("long"))
-        stretch = F.floor(F.col(order) / rows_per_part)
-        ranked = rank_in_group(
-            marked.filter(F.col("_large")), [key], stretch, [order], "_place"
-        ).withColumn("part", F.floor(F.col("_place") / rows_per_part))
-        placed = small.unionByName(ranked.drop("_place")).drop("_large")
-    in_order = F.array_sort(F.collect_list(F.struct(order, text)))
-    return placed.groupBy(key, "part").agg(
-        F.count("*").alias("n_documents"),
-        F.array_join(F.transform(in_order, lambda d: d[text]), " ").alias(text),
+
+    def joined(place: str, part: str) -> Column:
+        in_order = F.array_sort(F.collect_list(F.when(F.col(part).isNotNull(), F.struct(place, part))))
+        return F.array_join(F.transform(in_order, lambda d: d[part]), " ")
+
+    stretches = documents.groupBy(key, F.floor(F.col(order) / stretch).alias("_stretch")).agg(
+        F.count("*").alias("_n"), F.count(text).alias("_texts"), joined(order, text).alias("_text")
+    )
+    # A stretch without any text adds no blank.
+    stretches = stretches.withColumn("_text", F.when(F.col("_texts") > 0, F.col("_text")))
+    size = F.sum(F.octet_length("_text") + 1)
+    too_long = F.raise_error(F.concat(F.lit("text too long for one row, patient "), F.col(key).cast("string")))
+    whole = F.when(F.col("_size") > MOST_BYTES, too_long).otherwise(F.col(text))
+    return (
+        stretches.groupBy(key)
+        .agg(F.sum("_n").alias("n_documents"), joined("_stretch", "_text").alias(text), size.alias("_size"))
+        .select(key, "n_documents", whole.alias(text))
     )
 
 
@@ -64,12 +62,3 @@ def first_gold(documents: DataFrame, *, key: str, order: str, gold: str) -> Data
     """The gold code of the first document of each patient that has one."""
     known = F.when(F.col(gold).isNotNull(), F.col(order))
     return documents.groupBy(key).agg(F.min_by(gold, known).alias(gold))
-
-
-def vote_of_parts(scored: DataFrame, *, predicted: str, key: str = "patient_id") -> DataFrame:
-    """One prediction per patient: that of most documents, when the text came in several parts."""
-    votes = scored.filter(F.col(predicted).isNotNull()).groupBy(key, predicted).agg(
-        F.sum("n_documents").alias("_n")
-    )
-    winner = F.min_by(predicted, F.struct(-F.col("_n"), predicted))
-    return votes.groupBy(key).agg(winner.alias(predicted))

@@ -163,7 +163,7 @@ VIEWS = {
             (partition by split order by md5(concat('42:0:', note_id)), note_id) - 1 as position from docs""",
     "counted": """
         select stream, position // 32 as batch, position, note_id,
-          len(list_filter(regexp_split_to_array(note_text, '\\s+'), lambda w: w <> '')) as n_words from shuffled""",
+          len(list_filter(regexp_split_to_array(note_text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '')) as n_words from shuffled""",
     "placed": """
         select stream, batch, position, note_id, n_words, 0::bigint as sub_batch, n_words as used
         from counted where position % 32 = 0
@@ -173,7 +173,7 @@ VIEWS = {
           case when p.used > 0 and p.used + c.n_words > 12000 then c.n_words else p.used + c.n_words end
         from placed p join counted c on c.stream = p.stream and c.batch = p.batch and c.position = p.position + 1""",
     "doc_words": """
-        select note_id, lang, split, list_filter(regexp_split_to_array(note_text, '\\s+'), lambda w: w <> '') as words
+        select note_id, lang, split, list_filter(regexp_split_to_array(note_text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '') as words
         from docs""",
     "windows": "select note_id, words, unnest(range(0, len(words), 256)) as start from doc_words",
     "weighted_words": """
@@ -201,10 +201,10 @@ VIEWS = {
           case when turn % 3 <> 0 then concat('C', cast(conv_id % 7 as varchar), ' x') end as dp_gold
         from conversations""",
     "grouped": """
-        select patient_id, 0::bigint as part, count(*) as n_documents, string_agg(note_text, ' ' order by document_no) as note_text
+        select patient_id, count(*) as n_documents, string_agg(note_text, ' ' order by document_no) as note_text
         from coded_documents group by patient_id""",
     "aligned": """
-        select g.dp_gold, concat('C', cast(len(list_filter(regexp_split_to_array(t.note_text, '\\s+'), lambda w: w <> '')) % 7 as varchar)) as dp
+        select g.dp_gold, concat('C', cast(len(list_filter(regexp_split_to_array(t.note_text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '')) % 7 as varchar)) as dp
         from grouped t join (select patient_id, split_part(arg_min(dp_gold, document_no) filter (where dp_gold is not null), ' ', 1) as dp_gold
                              from coded_documents group by patient_id) g using (patient_id)""",
     "head_pairs": """
@@ -378,7 +378,7 @@ BODIES = {
         select note_id, label, round(score, 6) as score from (
           select *, row_number() over (partition by note_id order by score desc, label) as rn from nb_scores) r
         where rn = 1""",
-    "align_gold_pred": "select note_id, dp_gold, dp from scored",
+    "align_gold_pred": "select note_id, dp_gold, case when note_id % 11 <> 0 and (note_id % 5 <> 0 or note_id = 0) then dp end as dp from scored",
     "metrics_micro": f"select n_gold, micro_precision, micro_recall, micro_f1 from ({_SCORED_REPORT}) m",
     "metrics_macro": f"select macro_precision, macro_recall, macro_f1 from ({_SCORED_REPORT}) m",
     "metrics_per_label": f"""
@@ -392,7 +392,7 @@ BODIES = {
            from head_pairs group by head, label""",
         "head, ",
     ),
-    "group_documents": "select patient_id, part, n_documents, note_text from grouped",
+    "group_documents": "select patient_id, n_documents, note_text from grouped",
     "metrics_grouped": _report(_COUNTS.format(by="", rows="aligned")),
     "assign_sub_batches": "select stream, batch, note_id, n_words, sub_batch from placed",
 }

@@ -432,7 +432,10 @@ def nb_predict(fx: Fixtures) -> DataFrame:
 @query
 def align_gold_pred(fx: Fixtures) -> DataFrame:
     scored = stored(fx.scored(), "scored")
-    return metrics.align_predictions(scored.select("note_id", "dp_gold"), scored.select("note_id", "dp"))
+    # Some notes have no prediction, and some predictions are of other notes.
+    other = F.when(F.col("note_id") % 5 == 0, -F.col("note_id")).otherwise(F.col("note_id"))
+    predictions = scored.filter("note_id % 11 <> 0").select(other.alias("note_id"), "dp")
+    return metrics.align_predictions(scored.select("note_id", "dp_gold"), predictions)
 
 
 @query
@@ -510,7 +513,6 @@ def metrics_grouped(fx: Fixtures) -> DataFrame:
     documents = _coded_documents(fx)
     grouped = patients.group_documents(documents)
     scored = scoring.score_notes(grouped, _code_from_length, {"dp": T.StringType()})
-    scored = patients.vote_of_parts(scored, predicted="dp")
     gold = patients.first_gold(documents, key="patient_id", order="document_no", gold="dp_gold")
     gold = gold.withColumn("dp_gold", first_word(F.col("dp_gold")))
     aligned = metrics.align_predictions(gold, scored.select("patient_id", "dp"), "patient_id")

@@ -16,14 +16,19 @@ CODE, DEFINITION, CATEGORY = "code", "libellé long", "code MCO/HAD"
 def read_notes_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Annotated notes from CSV with quoted multi-line text; all columns are text.
 
-    Rows with a wrong number of fields are left out, and the texts that mean "missing" are NULL.
-    A quoted line break keeps a file from being split, so large sets should come as many files.
+    Rows with too few fields are filled up with NULL, rows with more fields than the header are left
+    out, and the texts that mean "missing" are NULL. A quoted line break keeps a file from being
+    split, so large sets should come as many files.
     """
-    reader = spark.read.options(
-        header=True, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED"
-    )
-    rows = (reader.schema(schema) if schema else reader).csv(path)
-    return rows.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in rows.columns])
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    fields = schema or spark.read.options(**options).csv(path).schema
+    # With a spare field in the schema, rows of the right size and short ones count as incomplete; a row
+    # with one field too many does not, and one with more shows something in the spare field.
+    spare = [T.StructField(c, T.StringType()) for c in ("_beyond", "_incomplete")]
+    options |= {"columnNameOfCorruptRecord": "_incomplete"}
+    rows = spark.read.options(**options).schema(T.StructType([*fields.fields, *spare])).csv(path)
+    rows = rows.filter("_beyond is null and _incomplete is not null")
+    return rows.select(*[blank_to_null(F.col(f"`{c}`")).alias(c) for c in fields.names])
 
 
 def read_referential(spark: SparkSession, path: str) -> DataFrame:

@@ -55,3 +55,10 @@ def test_random_cells(spark):
         assert {"dp": row.dp, "dr": row.dr, "das": row.das} == expected, cells[row.i]
         with_dp += row.dp is not None
     assert with_dp > 800
+
+
+def test_an_indented_cell_is_no_dict(spark):
+    cells = ["\n\t{'A': {'position': 'DP'}}", "\n{'A': {'position': 'DP'}}", " {'A': {'position': 'DP'}}"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "n int, cell string")
+    expected = {i: (fold_python_dict(c) or {}).get("dp") for i, c in enumerate(cells)}
+    assert {r.n: r.dp for r in parse_annotations(rows, "cell").collect()} == expected

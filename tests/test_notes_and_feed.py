@@ -13,12 +13,12 @@ def test_notes_csv(spark):
     path = new_path(spark, "csv-test")
     lines = [
         "clinical_note,annot_diagnostics_v2,ward", '"two\nlines","a ""b""",w', "too,many,fields,here",
-        "too,few", "x,,w", "NA,b,w", "text,b,N/A",
+        "too,few", "x,,w", "NA,b,w", "text,b,N/A", "empty,field,more,", "short",
     ]
     spark.createDataFrame([("\n".join(lines),)], "value string").repartition(1).write.text(path)
     rows = tables.read_notes_csv(spark, path).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [
-        ("two\nlines", 'a "b"', "w"), ("x", None, "w"), (None, "b", "w"), ("text", "b", None),
+        ("two\nlines", 'a "b"', "w"), ("x", None, "w"), (None, "b", "w"), ("text", "b", None), ("too", "few", None), ("short", None, None),
     ]))
 
 
@@ -55,27 +55,24 @@ def test_patient_notes(spark):
 
 
 def test_group_documents_of_any_number(spark):
-    documents = spark.range(95).select(
-        F.when(F.col("id") < 90, "hot").otherwise(F.col("id").cast("string")).alias("patient_id"),
-        (F.col("id") * 3).alias("document_no"), F.concat(F.lit("t"), F.col("id")).alias("note_text"),
-    )
-    whole = patients.group_documents(documents).collect()
-    assert {(r.patient_id, r.part) for r in whole} == {("hot", 0), *((str(i), 0) for i in range(90, 95))}
-    parts = patients.group_documents(documents, rows_per_part=40)
-    hot = parts.filter("patient_id = 'hot'").orderBy("part").collect()
-    assert [r.n_documents for r in hot] == [40, 40, 10]
-    assert " ".join(r.note_text for r in hot) == " ".join(f"t{i}" for i in range(90))
-    assert parts.count() == 8
-
-
-def test_patient_key_first_gold_and_votes(spark):
+    rows = [("p", i, f"t{i}" if i % 7 else None) for i in range(5000)] + [("q", 0, "x"), ("r", 3, None)]
+    documents = spark.createDataFrame(rows, "patient_id string, document_no long, note_text string").repartition(5)
+    expected = {
+        ("p", 5000, " ".join(f"t{i}" for i in range(5000) if i % 7)),
+        ("q", 1, "x"),
+        ("r", 1, ""),
+    }
+    for stretch in (1, 3, 40, 10_000):
+        assert {tuple(r) for r in patients.group_documents(documents, stretch=stretch).collect()} == expected
+
+
+def test_patient_key_and_first_gold(spark):
     row = spark.range(1).select(patients.patient_key(F.lit(12345)).alias("a"), patients.patient_key(F.lit(7)).alias("b")).head()
     assert tuple(row) == ("123", "")
     documents = spark.createDataFrame([("p", 2, "B"), ("p", 1, "A"), ("p", 0, None), ("q", 1, None)], "patient_id string, n int, gold string")
     gold = patients.first_gold(documents, key="patient_id", order="n", gold="gold")
     assert {r.patient_id: r.gold for r in gold.collect()} == {"p": "A", "q": None}
-    scored = spark.createDataFrame([("p", 5, "A"), ("p", 7, "B"), ("p", 3, "A"), ("q", 1, None)], "patient_id string, n_documents int, dp string")
-    assert [tuple(r) for r in patients.vote_of_parts(scored, predicted="dp").collect()] == [("p", "A")]
+
 
 
 def test_leaks(spark):
