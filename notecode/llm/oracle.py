@@ -1,3 +1,77 @@
 """The queries of this package in the SQL of DuckDB, where SQL can say them."""
 
-LLM_ORACLE: dict[str, str] = {}
+_COMPONENTS = """
+reach as (select a as node, a as root from nodes
+          union select r.node, l.b from reach r join links l on l.a = r.root),
+least as (select node, min(root) as component_id from reach group by node)"""
+
+_WARC = """
+with pages_ as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages),
+kept as (select digest, max(page_id) as keep from pages_ where n >= 1000 group by digest)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when keep <> page_id then 'revisit' else 'response' end as record_type,
+  case when keep <> page_id then keep end as refers_to,
+  case when keep <> page_id then null else true end as digest_ok
+from pages_ left join kept using (digest)"""
+
+_VECTORS = f"""
+with recursive links as (
+  select x.vec_id as a, y.vec_id as b from embeddings x join embeddings y on x.label = y.label and x.vec_id <> y.vec_id
+  where list_cosine_similarity(x.embedding::double[], y.embedding::double[]) >= 0.93),
+nodes as (select vec_id as a from embeddings),{_COMPONENTS},
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on node = vec_id left join counts on a = vec_id"""
+
+_JACCARD = f"""
+with recursive worded as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda w: w <> '') as w from documents),
+shingled as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from worded),
+single as (select doc_id, len(s) as n, unnest(s) as x from shingled),
+links as (
+  select p.doc_id as a, q.doc_id as b from single p join single q on p.x = q.x and p.doc_id <> q.doc_id
+  group by p.doc_id, q.doc_id, p.n, q.n having 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+nodes as (select doc_id as a from documents),{_COMPONENTS}
+select doc_id, len(s) as n_shingles, component_id from shingled join least on node = doc_id"""
+
+_MIX = """
+with sized as (
+  select doc_id, source, text is not null and text <> '' as filled,
+    case when text is null then 0
+      else len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) end as size,
+    md5(coalesce(cast(doc_id as varchar), '')) || md5(coalesce(text, '')) as key from documents),
+sources as (select source, sum(size)::bigint as source_size from sized group by source),
+weighed as (
+  select *, [5.0::double, 2.0::double, 1.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from sources),
+levels as (
+  select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over (o rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(weight) over (o rows between current row and unbounded following) as level
+  from weighed window o as (order by source_size / weight, source nulls last)),
+targets as (
+  select source, source_size,
+    least(coalesce(max(case when level * weight <= 3 * source_size then level end) over (), 0.0) * weight, 3.0 * source_size)::double as target
+  from levels),
+queues as (
+  select *, sum(size) over (partition by source order by key)::bigint as total from sized where size > 0),
+laps as (
+  select q.source, q.key, q.size, (lap * source_size + total)::double / target as finish
+  from queues q join targets t on q.source is not distinct from t.source cross join range(0, 3) as r(lap) where target > 0),
+merged as (select *, sum(size) over (order by finish, source nulls first, key) as reached from laps),
+taken as (
+  select source, key, count(*) as n from merged
+  where reached <= (select sum(size) from sized) group by source, key)
+select s.doc_id, s.size::bigint as size, t.source_size, t.target, (s.size * coalesce(n, 0))::bigint as taken
+from sized s join targets t on s.source is not distinct from t.source
+left join taken k on k.source is not distinct from s.source and k.key = s.key"""
+
+LLM_ORACLE: dict[str, str] = {
+    "op3_warc_chunks": _WARC,
+    "op5_grid_order": _VECTORS,
+    "op6_jaccard_regions": _JACCARD,
+    "op7_fair_mix": _MIX,
+}
