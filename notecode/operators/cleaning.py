@@ -15,6 +15,7 @@ from notecode.operators.joins import (
     keep_listed,
     lookup_join,
 )
+from notecode.sources.shared_folder import stored
 
 # Fixed value: the care mode of a note without a related diagnosis.
 DEFAULT_CARE_MODE = "Z769"
@@ -50,26 +51,29 @@ def keep_valid_array_codes(
         kept = F.filter(column, lambda c: lookup.get(F.col("_listed"), c).isNotNull())
         return notes.withColumn("_listed", lookup.column()).withColumn(column, kept).drop("_listed")
     # A code list of unknown size: semi-join the exploded codes, then put the arrays back.
-    exploded = notes.select(note_key, F.posexplode(column).alias("_pos", "code"))
-    valid = lookup_join(
-        exploded, listed, ["code"], "left_semi", salt_by=[note_key, "_pos"], small=False
-    )
-    arrays = valid.groupBy(note_key).agg(
+    # Note ids may repeat or be missing, so that goes by a row id stored with the notes.
+    notes = stored(notes.withColumn("_row", F.monotonically_increasing_id()), "numbered-notes")
+    exploded = notes.select("_row", F.posexplode(column).alias("_pos", "code"))
+    valid = lookup_join(exploded, listed, ["code"], "left_semi", salt_by=["_row", "_pos"], small=False)
+    arrays = valid.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "code"))).alias("_kept")
     )
     kept = F.transform("_kept", lambda e: e.code)
     filled = F.when(
         F.col(column).isNotNull(), F.coalesce(kept, F.array().cast("array<string>"))
     )
-    return notes.join(arrays, note_key, "left").withColumn(column, filled).drop("_kept")
+    return notes.join(arrays, "_row", "left").withColumn(column, filled).drop("_kept", "_row")
 
 
 def drop_denied(
-    notes: DataFrame, denied: Sequence[str] | DataFrame = DENIED_CODES, column: str = "dp"
+    notes: DataFrame,
+    denied: Sequence[str] | DataFrame = DENIED_CODES,
+    column: str = "dp",
+    note_key: str = "note_id",
 ) -> DataFrame:
     """Drop the notes whose code is denied or NULL. Takes a short list or a one-column table."""
     if isinstance(denied, DataFrame):
-        return drop_listed(notes, denied, column, salt_by=["note_id"])
+        return drop_listed(notes, denied, column, salt_by=[note_key])
     return notes.filter(~F.col(column).isin(list(denied)))
 
 

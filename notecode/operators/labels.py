@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notecode.operators.joins import BROADCAST_ROWS, ArrayLookup, is_small, lookup_join
 from notecode.operators.ranking import rank_in_group
+from notecode.sources.shared_folder import stored
 
 HEADS = ("dp", "das", "mdp")
 
@@ -141,16 +142,16 @@ def _translate(notes, space, head, column, key, value, name, note_key):
         lookup = ArrayLookup(table, "_key", "_value")
         values = F.transform(column, lambda c: lookup.get(F.col("_table"), c))
         return notes.withColumn("_table", lookup.column()).withColumn(name, values).drop("_table")
-    exploded = notes.select(note_key, F.posexplode(column).alias("_pos", "_key"))
-    joined = lookup_join(
-        exploded, table, ["_key"], "left", salt_by=[note_key, "_pos"], small=False
-    )
-    arrays = joined.groupBy(note_key).agg(
+    # Note ids may repeat or be missing, so the arrays are put back by a row id stored with the notes.
+    notes = stored(notes.withColumn("_row", F.monotonically_increasing_id()), "numbered-notes")
+    exploded = notes.select("_row", F.posexplode(column).alias("_pos", "_key"))
+    joined = lookup_join(exploded, table, ["_key"], "left", salt_by=["_row", "_pos"], small=False)
+    arrays = joined.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_values")
     )
     empty = F.when(F.col(column).isNotNull(), F.array().cast(f"array<{dict(table.dtypes)['_value']}>"))
     values = F.coalesce(F.transform("_values", lambda e: e["_value"]), empty)
-    return notes.join(arrays, note_key, "left").withColumn(name, values).drop("_values")
+    return notes.join(arrays, "_row", "left").withColumn(name, values).drop("_values", "_row")
 
 
 def labels_outside(frequency: DataFrame, space: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -123,6 +123,15 @@ def test_array_codes(spark, broadcast_rows):
     assert rows == {1: ["B", "A", "B"], 2: [], 3: [], 4: None}
 
 
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_array_codes_of_repeated_and_missing_ids(spark, broadcast_rows):
+    rows = [(1, ["A"]), (1, ["B", "X"]), (None, ["A"]), (None, ["X"]), (None, None)]
+    notes = spark.createDataFrame(rows, "note_id int, das array<string>")
+    kept = cleaning.keep_valid_array_codes(notes, codes(spark, "A", "B"), broadcast_rows=broadcast_rows)
+    found = sorted((str(r.note_id), str(r.das)) for r in kept.collect())
+    assert found == sorted([("1", "['A']"), ("1", "['B']"), ("None", "['A']"), ("None", "[]"), ("None", "None")])
+
+
 def test_drop_denied(spark):
     notes = spark.createDataFrame([(1, "C09"), (2, "I10"), (3, None)], "note_id int, dp string")
     assert [r.note_id for r in cleaning.drop_denied(notes).collect()] == [2]
