@@ -37,7 +37,7 @@ from notecode.sources.shared_folder import stored
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 FREQUENT = 16  # classes; a shingle with more comes late in the order
 MOST_FREQUENT = 1 << 22  # bound of the broadcast table of frequent shingles
 SMALL_REGION = 16
@@ -105,7 +105,7 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _parts(sets: Iterator[tuple[int, np.ndarray]], most: int = 2_000_000) -> Iterator[tuple[list, list]]:
+def _parts(sets: Iterator[tuple[int, np.ndarray]], most: int = 500_000) -> Iterator[tuple[list, list]]:
     """The sets in lists that hold some `most` hashes."""
     rows, hashes, held = [], [], 0
     for row, h in sets:
