@@ -25,11 +25,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written to a new path and read from there, so that it is computed only once."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Delete the tables that this application has stored."""
+def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` has returned and that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table._stored_at)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored."""
+    _delete(spark, session_folder(spark))
