@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from notecode.llm.components import components
 from notecode.llm.words import blocks, hashed_words, shingles
-from notecode.sources.shared_folder import stored
+from notecode.sources.shared_folder import discard, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -130,11 +130,11 @@ def _id_type(documents: DataFrame) -> str:
     return f"doc_id {documents.schema['doc_id'].dataType.simpleString()}"
 
 
-def only(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
     """The rows whose `column` is in the stored ids: by broadcast up to `BROADCAST_IDS`, else by shuffle."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return rows.join(ids, column, "left_semi")
+    return rows.join(ids, column, how)
 
 
 def frequent_shingles(classes: DataFrame) -> DataFrame:
@@ -170,15 +170,18 @@ def reordered(documents: DataFrame, sent: Broadcast) -> DataFrame:
 
 
 def whole_sets(documents: DataFrame) -> DataFrame:
-    """(`doc_id`, `hashes`)."""
+    """(`doc_id`, `hashes`, `repeated`) from (`doc_id`, `text`, `repeated`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, hashes in _parts(_sets(batch), 500_000):
-                doc_id = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_pydict({"doc_id": doc_id, "hashes": _lists(hashes)})
+                kept = {c: batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "repeated")}
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": kept["doc_id"], "hashes": _lists(hashes), "repeated": kept["repeated"]}
+                )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"{_id_type(documents)}, hashes array<long>")
+    schema = f"{_id_type(documents)}, hashes array<long>, repeated boolean"
+    return documents.select("doc_id", "text", "repeated").mapInArrow(run, schema)
 
 
 def small_regions(seeds: DataFrame) -> DataFrame:
@@ -282,12 +285,20 @@ def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (`a`, `b`) among the pairs, by the whole sets of the documents in them."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = whole_sets(only(documents, wanted, "doc_id")).filter(F.size("hashes") > 0)
-    sets = stored(sets.distinct(), "whole-sets")
-    return exact(pairs, sets).filter("not far").select("a", "b")
+def verified(documents: DataFrame, pairs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Stored links (`a`, `b`) among the pairs, by the whole sets of the documents in them.
+
+    Only the sets of ids that several rows share (`repeated`) have to be made distinct.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = wanted.join(repeated.withColumn("repeated", F.lit(True)), "doc_id", "left")
+    wanted = stored(wanted.withColumn("repeated", F.col("repeated").isNotNull()), "wanted")
+    sets = stored(whole_sets(only(documents, wanted, "doc_id", "inner")).filter(F.size("hashes") > 0), "whole-sets")
+    once = sets.filter("not repeated").select("doc_id", "hashes")
+    sets_of_ids = once.union(sets.filter("repeated").select("doc_id", "hashes").distinct())
+    links = stored(exact(pairs, sets_of_ids).filter("not far").select("a", "b"), "links")
+    discard(wanted, sets)
+    return links
 
 
 def _regions(placed: DataFrame) -> DataFrame:
@@ -400,21 +411,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ids = stored(classes.select("doc_id").distinct(), "class-ids")
     representatives = only(filled, ids, "doc_id").select("doc_id", F.col("n_shingles").alias("n"), "first", "sketch")
     sketches = stored(representatives.select("doc_id", "n", "sketch").distinct(), "sketches")
+    # Counted over the rows with the id of a class: those are the texts that are read again.
+    repeated = stored(representatives.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     late = frequent_shingles(representatives).toArrow().column("shingle").to_numpy().view(np.uint64)
-    seeds, large = _seeds(documents, representatives, late)
+    seeds, large, again = _seeds(documents, representatives, late)
     found = stored(small_regions(seeds), "regions")
     members = found.filter("b is null").select("shingle", F.col("a").alias("doc_id"))
     members = stored(members.union(large.select("shingle", "doc_id")).distinct(), "members")
+    discard(*again)
 
     def possible(pairs: DataFrame) -> DataFrame:
         return stored(bounded(pairs, sketches).filter("linkable").select("a", "b").distinct(), "possible")
 
     small = found.filter("b is not null").select("a", "b").distinct()
-    links = stored(verified(documents, possible(small.union(pivot_pairs(members)))), "links")
+    links = verified(documents, possible(small.union(pivot_pairs(members))), repeated)
     placed = stored(_placed(members, links), "placed")
-    links = stored(links.union(verified(documents, possible(more_pivot_pairs(placed)))), "links")
+    links = links.union(verified(documents, possible(more_pivot_pairs(placed)), repeated))
     placed = stored(_placed(members, links), "placed")
-    links = stored(links.union(verified(documents, remaining_pairs(placed, sketches))), "links")
+    links = links.union(verified(documents, remaining_pairs(placed, sketches), repeated))
     of_node = components(links, "documents").select(F.col("node").alias("doc_id"), "component")
     # Rows that share an id share its component, whichever class they are of.
     own = classes.select("digest", "doc_id").join(of_node, "doc_id", "left")
@@ -426,10 +440,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return with_set.union(empty)
 
 
-def _seeds(documents: DataFrame, classes: DataFrame, late: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def _seeds(
+    documents: DataFrame, classes: DataFrame, late: np.ndarray
+) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(`shingle`, `doc_id`, `n`) of the rare first shingles and, apart, of the frequent ones.
 
-    Classes with a frequent shingle among their first get their first shingles anew.
+    The third value are the stored tables that both come from. Classes with a frequent shingle among their first get their first shingles anew.
     """
     rows = classes.select("doc_id", "n", "first")
     late = np.sort(late)
@@ -449,8 +465,8 @@ def _seeds(documents: DataFrame, classes: DataFrame, late: np.ndarray) -> tuple[
         return rows.select(F.explode(column).alias("shingle"), "doc_id", "n")
 
     if not len(late):
-        return exploded(rows, "first"), exploded(rows.filter(F.lit(False)), "first")
+        return exploded(rows, "first"), exploded(rows.filter(F.lit(False)), "first"), []
     marks = stored(rows.select("doc_id", has_late("first").alias("late")).filter("late").select("doc_id").distinct(), "late-ids")
     again = stored(reordered(only(documents, marks, "doc_id"), sent).filter("n > 0"), "reordered")
     same = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks, "doc_id", "left_anti")
-    return exploded(same, "first").union(exploded(again, "first")), exploded(again, "late")
+    return exploded(same, "first").union(exploded(again, "first")), exploded(again, "late"), [marks, again]
