@@ -31,13 +31,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notecode.llm.batches import short_batches
 from notecode.llm.components import components
 from notecode.llm.words import blocks, hashed_words, shingles
 from notecode.sources.shared_folder import discard, stored
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 FREQUENT = 16  # classes; a shingle with more comes late in the order
 MOST_FREQUENT = 1 << 22  # bound of the broadcast table of frequent shingles
 SMALL_REGION = 16
@@ -404,6 +405,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(`doc_id`, `n_shingles`, `component_id`) for every row of the documents."""
+    short_batches(documents.sparkSession)
     documents = documents.select("doc_id", "text")
     sets = stored(document_sets(documents), "sets")
     filled = sets.filter("doc_id is not null and n_shingles > 0")

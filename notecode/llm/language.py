@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notecode.llm.batches import short_batches
 from notecode.llm.words import blocks, mixed
 from notecode.sources.shared_folder import stored
 
@@ -33,7 +34,7 @@ SWITCH_PENALTY = 12.0
 OUT_OF_SCRIPT = 30.0
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.5
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 SEGMENT = 64  # words that one step of the Viterbi pass handles side by side
 
 # Code point ranges of scripts, (name, first, last).
@@ -154,6 +155,7 @@ class Model:
 
 
 def learn(documents: DataFrame) -> Model:
+    short_batches(documents.sparkSession)
     counts = stored(count_trigrams(documents), "trigrams")
     n = counts.select("lang").distinct().count()
     if n > MOST_LANGUAGES:
@@ -270,6 +272,7 @@ def label(documents: DataFrame, model: Model, with_spans: bool = True) -> DataFr
     The model, of bounded size, goes to the executors as a broadcast variable; only the text goes to
     Python and comes back as labels.
     """
+    short_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     spans = ", spans array<struct<start:int,end:int,lang:string>>" if with_spans else ""
 

@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from notecode.llm.batches import short_batches
+
 MARK = "▁"
 RUN = re.compile(" +[^ ]*")
-BLOCK_CHARS = 4_000_000
-KEPT_CHUNKS = 400_000
+BLOCK_CHARS = 2_000_000
+KEPT_CHUNKS = 200_000
 
 
 class ChunkTable:
@@ -114,6 +116,7 @@ def encode(
     documents: DataFrame, model_path: str, with_ids: bool = True, with_decoded: bool = True
 ) -> DataFrame:
     """(`doc_id`, `n_tokens`, `ids_sha256`, `decoded_sha256` and, if asked for, `ids`, `decoded`)."""
+    short_batches(documents.sparkSession)
     kept = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}"
     schema = f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:

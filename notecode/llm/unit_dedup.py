@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notecode.llm.batches import short_batches
 from notecode.sources.shared_folder import stored
 
 MIN_WORDS = 8
@@ -36,6 +37,7 @@ def _digest(words: list[str]) -> bytes:
 
 def units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """(`doc_id`, `start`, `end`, `n_words`, `digest`) for each unit with enough words."""
+    short_batches(documents.sparkSession)
     pattern = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
