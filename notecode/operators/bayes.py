@@ -1,25 +1,25 @@
 """A naive Bayes classifier per head, trained on the weighted feed.
 
-It gives scoring a predictor without an outside model. Training is counting; prediction sends the
-notes past a model that is broadcast in blocks of checked size.
+It gives scoring a predictor without an outside model. Training is counting; in prediction chunks of
+notes meet blocks of the model in a cogroup, so no part of the model passes through the driver.
 """
 
-import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from notecode.functions.text import words
-from notecode.operators.joins import lookup_join
+from notecode.operators.once import with_columns_once
 from notecode.sources.shared_folder import stored
 
-BLOCK_ROWS = 2_000_000
+BLOCK_ROWS = 500_000
+CHUNK_NOTES = 5_000
+CELLS = 4_000_000  # scores that are held at a time
+UNIT = float(1 << 36)  # scores are summed as whole numbers, so that no order of summing shows
 
 _TOKENS = "label string, token string, n double"
 _LABELS = "label string, n_notes double"
@@ -68,125 +68,151 @@ def load(spark: SparkSession, path: str, smoothing: float = 1.0) -> NaiveBayes:
     return NaiveBayes(*tables, smoothing)
 
 
+def _fixed(value: Column) -> Column:
+    return F.round(value * UNIT).cast("long")
+
+
 def _label_bases(model: NaiveBayes) -> DataFrame:
-    """(`label`, `prior`, `unseen`): log prior, and log probability of a token the label lacks."""
+    """(`label`, `n_rows`, `prior`, `unseen`): log prior, and log probability of a token the label lacks."""
     vocabulary = model.tokens.select("token").distinct().agg(F.count("*").alias("v")).scalar()
     notes = model.labels.agg(F.sum("n_notes").alias("n")).scalar()
-    totals = model.tokens.groupBy("label").agg(F.sum("n").alias("n_tokens"))
+    totals = model.tokens.groupBy("label").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_rows"))
     n_tokens = F.coalesce("n_tokens", F.lit(0.0))
     smoothing = F.lit(model.smoothing)
     return model.labels.join(totals, "label", "left").select(
         "label",
-        F.log(F.col("n_notes") / notes).alias("prior"),
-        F.log(smoothing / (n_tokens + smoothing * vocabulary)).alias("unseen"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        _fixed(F.log(F.col("n_notes") / notes)).alias("prior"),
+        F.coalesce(_fixed(F.log(smoothing / (n_tokens + smoothing * vocabulary))), F.lit(0)).alias("unseen"),
     )
 
 
-def _arrange(tokens: pd.DataFrame, bases: pd.DataFrame) -> dict:
-    """One block of the model as arrays, the gains of a token next to each other."""
-    bases = bases.sort_values("label", ignore_index=True)
-    numbers, names = pd.factorize(tokens["token"])
-    order = np.argsort(numbers, kind="stable")
-    return {
-        "labels": bases["label"].tolist(),
-        "prior": bases["prior"].to_numpy(),
-        "unseen": bases["unseen"].to_numpy(),
-        "columns": pd.Index(bases["label"]).get_indexer(tokens["label"])[order],
-        "gains": tokens["gain"].to_numpy()[order],
-        "ends": np.cumsum(np.bincount(numbers, minlength=len(names))),
-        "place": {token: i for i, token in enumerate(names)},
-    }
-
-
-def _best_label(block: dict, note: list) -> tuple[str, float]:
-    total = block["prior"] + len(note) * block["unseen"]
-    for token, times in Counter(note).items():
-        i = block["place"].get(token)
-        if i is not None:
-            span = slice(block["ends"][i - 1] if i else 0, block["ends"][i])
-            total[block["columns"][span]] += times * block["gains"][span]
-    first = int(np.argmax(total))
-    return block["labels"][first], float(total[first])
-
-
-_BEST = T.StructType(
-    [T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]
-)
-
-
-def _best_in_block(notes: DataFrame, tokens: pd.DataFrame, bases: pd.DataFrame) -> DataFrame:
-    block = notes.sparkSession.sparkContext.broadcast(_arrange(tokens, bases))
-
-    @F.pandas_udf(_BEST)
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [_best_label(block.value, t.tolist()) for t in batch]
-            yield pd.DataFrame(rows, columns=["label", "score"])
-
-    return notes.withColumn("_best", best("_tokens")).select("note_id", "_best.*")
-
-
-def _score_by_join(notes: DataFrame, tokens: DataFrame, bases: DataFrame) -> DataFrame:
-    """Scores under labels whose token table is too large to broadcast; one row per note and label."""
-    in_notes = (
-        notes.select("note_id", F.explode("_tokens").alias("token"))
-        .groupBy("note_id", "token")
-        .agg(F.count("*").alias("_tf"))
+def _in_blocks(model: NaiveBayes, bases: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """(`block`, `label`, `split`, `token`, `gain`, `prior`, `unseen`) and the number of blocks.
+
+    A label lies in the block of its hash. One with more than `block_rows` rows is cut by the hash of its
+    tokens (`split`); its prior lies in its first part. Rows with a prior have no token.
+    """
+    n_blocks = max(1, -(-model.tokens.count() // block_rows))
+    parts = F.greatest(F.ceil(F.col("n_rows") / block_rows), F.lit(1)).cast("int")
+
+    def block(part: Column) -> Column:
+        place = F.pmod(F.xxhash64("label", part), F.lit(n_blocks))
+        return F.when(F.col("parts") > 1, place + n_blocks).otherwise(place).alias("block")
+
+    split = (F.col("parts") > 1).alias("split")
+    sized = bases.withColumn("parts", parts)
+    first = sized.select(
+        block(F.lit(0)), "label", split, F.lit(None).cast("long").alias("token"),
+        F.lit(None).cast("long").alias("gain"), "prior", "unseen",
+    )
+    large = F.broadcast(sized.filter("parts > 1").select("label", "parts"))  # at most n_blocks labels
+    rows = model.tokens.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    token = F.xxhash64("token")
+    gain = _fixed(F.log((F.col("n") + model.smoothing) / F.lit(model.smoothing)))
+    none = F.lit(None).cast("long")
+    part = F.when(F.col("parts") > 1, F.pmod(token, "parts").cast("int")).otherwise(0)
+    rows = rows.select(
+        block(part), "label", split, token.alias("token"), gain.alias("gain"), none.alias("prior"), none.alias("unseen")
+    )
+    return first.union(rows), n_blocks
+
+
+def _stretches(sizes: np.ndarray, n_labels: int) -> Iterator[tuple[int, int]]:
+    """Stretches of notes whose hits and scores stay below `CELLS`, one note at least."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size + n_labels > CELLS:
+            yield start, i
+            start = i
+            held = 0
+        held += int(size) + n_labels
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _scored(notes: pa.Table, model: pa.Table, id_type: pa.DataType) -> pa.Table:
+    """The best label of each note within a block, or the sums of each label of a block of split ones."""
+    labels = model.column("label").to_pandas().to_numpy(object)
+    names, column = np.unique(labels, return_inverse=True)
+    is_token = ~model.column("token").is_null().to_numpy()
+    split = bool(len(names)) and model.column("split")[0].as_py()
+    ids, scores, found = [], [], []
+    if len(names) and notes.num_rows:
+        base = ~is_token
+        prior, unseen = np.zeros((2, len(names)), np.int64)
+        for target, source in ((prior, "prior"), (unseen, "unseen")):
+            np.add.at(target, column[base], model.column(source).filter(pa.array(base)).to_numpy())
+        token = model.column("token").filter(pa.array(is_token)).to_numpy()
+        gain = model.column("gain").filter(pa.array(is_token)).to_numpy()
+        order = np.argsort(token, kind="stable")
+        token, gain, of_label = token[order], gain[order], column[is_token][order]
+        lists = notes.column("tokens").combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy()
+        first, last = np.searchsorted(token, flat), np.searchsorted(token, flat, "right")
+        hits = last - first
+        ends = np.cumsum(lengths)
+        per_note = np.diff(np.concatenate([[0], np.cumsum(hits)])[np.concatenate([[0], ends])])
+        for a, b in _stretches(per_note, len(names)):
+            total = prior[None] + lengths[a:b, None] * unseen[None]
+            here = slice(int(ends[a] - lengths[a]), int(ends[b - 1]))
+            n = hits[here]
+            row = np.repeat(np.repeat(np.arange(b - a), lengths[a:b]), n)
+            place = np.repeat(first[here] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            np.add.at(total, (row, of_label[place]), gain[place])
+            if split:
+                ids.append(np.repeat(np.arange(a, b), len(names)))
+                found.append(np.tile(np.arange(len(names)), b - a))
+                scores.append(total.ravel())
+            else:
+                best = total.argmax(1)  # names are in order: the first of equal ones
+                ids.append(np.arange(a, b))
+                found.append(best)
+                scores.append(total[np.arange(b - a), best])
+    rows = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    chosen = names[np.concatenate(found)] if found else []
+    return pa.table(
+        {
+            "note_id": notes.column("note_id").take(pa.array(rows)).cast(id_type),
+            "label": pa.array(chosen, pa.string()),
+            "sum": pa.array(np.concatenate(scores) if scores else rows, pa.int64()),
+            "split": pa.array([split] * len(rows), pa.bool_()),
+        }
     )
-    scores = None
-    for row in bases.collect():  # labels beyond the block size: at most model rows / block size
-        one = tokens.filter(F.col("label") == row["label"]).select("token", "gain")
-        gains = (
-            lookup_join(in_notes, one, ["token"], "left", salt_by=["note_id"], small=False)
-            .groupBy("note_id")
-            .agg(F.sum(F.col("_tf") * F.coalesce("gain", F.lit(0.0))).alias("_gain"))
-        )
-        total = F.lit(row["prior"]) + F.size("_tokens") * F.lit(row["unseen"])
-        part = notes.join(gains, "note_id", "left").select(
-            "note_id",
-            F.lit(row["label"]).alias("label"),
-            (total + F.coalesce("_gain", F.lit(0.0))).alias("score"),
-        )
-        scores = part if scores is None else scores.unionByName(part)
-    return scores
 
 
 def predict(
-    notes: DataFrame, model: NaiveBayes, *, text: str = "note_text", block_rows: int = BLOCK_ROWS
+    notes: DataFrame, model: NaiveBayes, *, text: str = "note_text", block_rows: int = BLOCK_ROWS,
+    chunk_notes: int = CHUNK_NOTES,
 ) -> DataFrame:
     """(`note_id`, `label`, `score`): the best label of each note, the first in case of a tie.
 
-    The model is cut into blocks of labels with about half of `block_rows` token rows each, small
-    enough to be gathered and broadcast. A label that alone exceeds a block is scored by a join; there
-    are at most model rows / `block_rows` of those. Use a saved model: it is read once per block.
+    Notes with the same id are one note with the best of their scores. Tokens are compared by 64-bit
+    hashes. The sizes of blocks and chunks change the layout, never the answer. Use a saved model.
     """
-    notes = notes.select("note_id", words(F.coalesce(F.col(text), F.lit(""))).alias("_tokens"))
-    gain = F.log((F.col("n") + model.smoothing) / F.lit(model.smoothing)).alias("gain")
-    tokens = model.tokens.select("label", "token", gain)
-    sizes = tokens.groupBy("label").agg(F.count("*").alias("rows"))
-    fits = F.col("rows") <= block_rows
-    total, large = sizes.agg(
-        F.sum(F.when(fits, F.col("rows"))), F.collect_list(F.when(~fits, F.col("label")))
-    ).head()
-    n_blocks = math.ceil(2 * (total or 0) / block_rows) or 1
+    kind = notes.schema["note_id"].dataType
+    tokens = F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t))
+    n_chunks = max(1, -(-notes.count() // chunk_notes))
     bases = stored(_label_bases(model), "label-bases")
-    parts = []
-    for block in range(n_blocks):
-        in_block = F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == block
-        inside = in_block & ~F.col("label").isin(large)
-        block_bases = bases.filter(inside).toArrow().to_pandas()
-        if len(block_bases):
-            block_tokens = tokens.filter(inside).toArrow().to_pandas()
-            parts.append(_best_in_block(notes, block_tokens, block_bases))
-    if large:
-        listed = F.col("label").isin(large)
-        parts.append(_score_by_join(notes, tokens.filter(listed), bases.filter(listed)))
-    if len(parts) == 1 and not large:
-        return parts[0]
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    return scores.groupBy("note_id").agg(
-        F.min_by("label", F.struct(-F.col("score"), "label")).alias("label"),
-        F.max("score").alias("score"),
+    rows, n_blocks = _in_blocks(model, bases, block_rows)
+    rows = stored(rows, "label-blocks")
+    blocks = [r.block for r in rows.select("block").distinct().collect()]  # numbers of blocks
+    chunk = F.pmod(F.xxhash64("note_id", text), F.lit(n_chunks)).alias("chunk")
+    chunked = with_columns_once(notes.select("note_id", chunk, F.col(text)), {"tokens": tokens}).drop(text)
+    met = chunked.withColumn("block", F.explode(F.lit(blocks).cast("array<long>")))
+    sent = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _scored(left, right, left.schema.field("note_id").type)
+
+    by_block = met.groupBy("chunk", "block").cogroup(sent.groupBy("chunk", "block"))
+    scores = by_block.applyInArrow(score, f"note_id {kind.simpleString()}, label string, sum long, split boolean")
+    whole = scores.filter("not split").select("note_id", "label", "sum")
+    of_parts = scores.filter("split").groupBy("note_id", "label").agg(F.sum("sum").alias("sum"))
+    return (
+        whole.union(of_parts)
+        .groupBy("note_id")
+        .agg(F.min_by("label", F.struct(-F.col("sum"), "label")).alias("label"), F.max("sum").alias("sum"))
+        .select("note_id", "label", (F.col("sum") / UNIT).alias("score"))
     )

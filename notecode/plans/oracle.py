@@ -340,6 +340,7 @@ BODIES = {
         from (select head, label, count(*) as n from labels_train group by all) f""",
     "prefix_leakage": "select note_id, leaked from leaks",
     "prefix_leakage_summary": "select leaked, count(*) as n from leaks group by leaked",
+    "synonym_scan": "select code, libelle from synonyms",
     "syn_dp": "select ordinal, note_text, dp from syn",
     "syn_das": "select doc_no, note_text, das from multi",
     "mix_streams": """
@@ -353,6 +354,13 @@ BODIES = {
         select note_id, split as stream, source as fragment, row_number() over (partition by split
           order by md5(concat('42:0:', source)), source, md5(concat('42:0:', note_id)), note_id) - 1 as position
         from docs""",
+    "mix_head_weights": """
+        select note_id, 'real' as stream, cast(2.0 as double) as dp_weight, cast(0.5 as double) as das_weight,
+          cast(1.0 as double) as mdp_weight from notes_clean
+        union all select ordinal, 'syn', cast(0.2 as double), null, null from syn
+        union all select doc_no, 'syn_das', null, cast(0.05 as double), null from multi""",
+    "assign_batches_by_stream": """
+        select stream, note_id, position // case when stream = 'train' then 32 else 128 end as batch from shuffled""",
     "assign_batches": "select stream, note_id, position // 32 as batch from shuffled",
     "score_notes": """
         select note_id, lang as dp_gold, case when contains(note_text, ' que ') then 'fr'
@@ -373,6 +381,14 @@ BODIES = {
             cast(unnest(embedding) as double) as x,
             exp(vec_id % 7 - max(vec_id % 7) over (partition by label)) as w from embeddings) v
         group by label, dim""",
+    "pool_vectors_mean": """
+        select cast(label as bigint) as label, dim, round(avg(x), 6) as value from (
+          select label, unnest(range(len(embedding))) as dim, cast(unnest(embedding) as double) as x from embeddings) v
+        group by label, dim""",
+    "pool_vectors_max": """
+        select cast(label as bigint) as label, dim, round(max(x), 6) as value from (
+          select label, unnest(range(len(embedding))) as dim, cast(unnest(embedding) as double) as x from embeddings) v
+        group by label, dim""",
     "nb_fit": "select label, token, round(n, 6) as n from nb_tokens",
     "nb_predict": """
         select note_id, label, round(score, 6) as score from (

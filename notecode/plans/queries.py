@@ -300,6 +300,13 @@ def prefix_leakage_summary(fx: Fixtures) -> DataFrame:
 # Synthetic notes and the feed
 
 
+@query
+def synonym_scan(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark, "synonyms")
+    fx.synonyms().select("code", "libelle").write.options(header=True).csv(path)
+    return tables.read_synonyms(fx.spark, path, "csv").select("code", "libelle")
+
+
 @query
 def syn_dp(fx: Fixtures) -> DataFrame:
     return synthesis.single_code_notes(fx.synonyms(), fx.codes("dp"))
@@ -315,23 +322,34 @@ def syn_das(fx: Fixtures) -> DataFrame:
     return _multi_code_notes(fx).withColumn("das", joined("das"))
 
 
-@query
-def mix_streams(fx: Fixtures) -> DataFrame:
+def _mixed(fx: Fixtures, head_weights: dict[str, float] | None = None) -> DataFrame:
     real = fx.notes().withColumn("note_text", F.concat(F.lit("Note "), F.col("note_id").cast("string")))
     single = synthesis.single_code_notes(fx.synonyms(), fx.codes("dp")).withColumnRenamed("ordinal", "note_id")
     multi = _multi_code_notes(fx).withColumnRenamed("doc_no", "note_id")
     synthetic = {"pipe": "synthetic", "scale": feed.SYNTHETIC_SCALE}
-    mixed = feed.mix_streams(
+    return feed.mix_streams(
         {
             "real": feed.Stream(real, ("dp", "das", "mdp")),
             "syn": feed.Stream(single, ("dp",), **synthetic),
             "syn_das": feed.Stream(multi, ("das",), **synthetic),
-        }
+        },
+        head_weights,
     )
+
+
+@query
+def mix_streams(fx: Fixtures) -> DataFrame:
+    mixed = _mixed(fx)
     shown = ["note_id", "note_text", "dp", "mdp", "stream", "pipe", "sample_weight"]
     return mixed.select(*shown, joined("das").alias("das"))
 
 
+@query
+def mix_head_weights(fx: Fixtures) -> DataFrame:
+    mixed = _mixed(fx, {"dp": 2.0, "das": 0.5})
+    return rounded(mixed.select("note_id", "stream", *[f"{h}_weight" for h in labels.HEADS]))
+
+
 def _shuffled(fx: Fixtures, columns: list[str]) -> DataFrame:
     documents = fx.documents().withColumns(
         {"stream": F.col("split"), "n_words": word_count(F.col("note_text"))}
@@ -356,6 +374,12 @@ def assign_batches(fx: Fixtures) -> DataFrame:
     return feed.assign_batches(_shuffled(fx, ["note_id"])).select("stream", "note_id", "batch")
 
 
+@query
+def assign_batches_by_stream(fx: Fixtures) -> DataFrame:
+    size = F.when(F.col("stream") == "train", feed.REAL_BATCH).otherwise(feed.SYNTHETIC_BATCH)
+    return feed.assign_batches(_shuffled(fx, ["note_id"]), size).select("stream", "note_id", "batch")
+
+
 @query
 def assign_sub_batches(fx: Fixtures) -> DataFrame:
     return feed.assign_sub_batches(feed.assign_batches(_shuffled(fx, ["note_id", "n_words"])))
@@ -379,9 +403,11 @@ def _guess_language() -> scoring.Predictor:
 
 @query
 def score_notes(fx: Fixtures) -> DataFrame:
-    notes = fx.documents().select("note_id", "note_text", F.col("lang").alias("dp_gold"))
+    notes = feed.select_attributes(fx.documents(), {"lang": "dp_gold"})
     scored = scoring.score_notes(notes, _guess_language, {"dp": T.StringType()})
-    return scored.select("note_id", "dp_gold", "dp")
+    path = new_path(fx.spark, "scored")
+    tables.write_scored(scored, path)
+    return fx.spark.read.parquet(path).select("note_id", "dp_gold", "dp")
 
 
 @query
@@ -407,6 +433,21 @@ def pool_vectors(fx: Fixtures) -> DataFrame:
     return rounded(longs(pooled.select("label", F.posexplode("pooled").alias("dim", "value"))))
 
 
+def _pooled(fx: Fixtures, mode: str) -> DataFrame:
+    pooled = scoring.pool_vectors(fx.table("embeddings"), key="label", vector="embedding", mode=mode, row_key="vec_id")
+    return rounded(longs(pooled.select("label", F.posexplode("pooled").alias("dim", "value"))))
+
+
+@query
+def pool_vectors_mean(fx: Fixtures) -> DataFrame:
+    return _pooled(fx, "mean")
+
+
+@query
+def pool_vectors_max(fx: Fixtures) -> DataFrame:
+    return _pooled(fx, "max")
+
+
 def _bayes(fx: Fixtures) -> bayes.NaiveBayes:
     train = fx.documents().filter(F.col("split") == "train")
     weight = F.when(F.col("note_id") % 2 == 0, feed.REAL_SCALE).otherwise(feed.SYNTHETIC_SCALE)

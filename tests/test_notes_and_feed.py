@@ -206,7 +206,7 @@ def test_pooling(spark):
     assert pooled(mode="max")["g"] == [1.0, 2.0]
 
 
-def test_bayes_in_blocks_and_by_join(spark):
+def test_bayes_in_blocks_and_chunks(spark):
     words = [("a", "x y z"), ("a", "x x"), ("b", "y y w"), ("c", "q"), ("c", "q z"), ("d", "")]
     feed_rows = spark.createDataFrame([(l, t, 1.0) for l, t in words], "label string, note_text string, w double")
     path = new_path(spark, "bayes-test")
@@ -221,7 +221,7 @@ def test_bayes_in_blocks_and_by_join(spark):
     assert {i: label for i, (label, _) in whole.items()} == {1: "a", 2: "c", 3: "b", 4: "a", 5: "a"}
     assert predicted(block_rows=3) == whole
     assert predicted(block_rows=2) == whole
-    assert predicted(block_rows=1) == whole
+    assert predicted(block_rows=1, chunk_notes=2) == whole
     arrays = feed_rows.withColumn("label", F.array("label"))
     counted = bayes.fit(arrays, label="label", weight="w")
     assert sorted(map(tuple, counted.tokens.collect())) == sorted(map(tuple, model.tokens.collect()))
