@@ -41,7 +41,7 @@ def op7_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return unit_dedup.repeated_units(_read(spark, folder, "documents"))
+    return unit_dedup.repeated_units(_read(spark, folder, "documents"), unit_dedup.PASSAGE)
 
 
 def op9_pieces(spark: SparkSession, folder: str) -> DataFrame:

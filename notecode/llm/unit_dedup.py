@@ -1,9 +1,13 @@
-"""Substring dedup by hashing lines, paragraphs or sentences.
+"""Substring dedup by hashing lines, paragraphs, sentences, or lines and sentences together.
 
 Units are normalised (lower case, blanks as one space) and hashed. Of equal units with at least
 `MIN_WORDS` words, the first by (`doc_id`, offset) stays; the others are removed, with their offsets
 in code points of the original text. Only digests and offsets are shuffled, never texts.
 
+A passage inside a line is found by `PASSAGE`: the lines, and from each sentence on the shortest run of
+sentences with enough words. Such units overlap, so spans to remove may too, and the first place of one
+unit may lie partly in the repeat of another; each removed word still has an earlier copy that stays.
+
 Defined results: a NULL text has no units; rows with a NULL `doc_id` rank last; equal rows with the
 same `doc_id` share a place, and if it is the first, all of them keep it; empty input gives no rows;
 other columns are not touched.
@@ -27,6 +31,7 @@ UNITS = {
     "paragraph": r"(?s).*?\n\n+|(?s).+\Z",
     "sentence": r"[^\n]*?(?:[.!?] |\n)|[^\n]+\Z",
 }
+PASSAGE = "passage"
 
 
 def _digest(words: list[str]) -> bytes:
@@ -35,24 +40,51 @@ def _digest(words: list[str]) -> bytes:
     return blake2b(" ".join(words).encode(), digest_size=16).digest()
 
 
+def _pieces(text: str, unit: str) -> Iterator[tuple[int, int, list[str]]]:
+    return ((m.start(), m.end(), m.group().lower().split()) for m in regex.finditer(UNITS[unit], text))
+
+
+def _units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, number of words, digest) for each unit with enough words."""
+    places = set()
+    for start, end, words in _pieces(text, "line" if unit == PASSAGE else unit):
+        if len(words) >= min_words:
+            places.add((start, end))
+            yield start, end, len(words), _digest(words)
+    if unit != PASSAGE:
+        return
+    sentences = [p for p in _pieces(text, "sentence") if p[2]]
+    ends: dict[bytes, int] = {}
+    for i, (start, _, _) in enumerate(sentences):
+        words: list[str] = []
+        for _, end, more in sentences[i:i + max(min_words, 1)]:  # each has a word at least
+            words = words + more
+            if len(words) >= min_words:
+                break
+        if len(words) < min_words:
+            break
+        digest = _digest(words)
+        # Equal runs of a text do not overlap, or "a. a. a." would lose its first run too.
+        if ends.get(digest, 0) <= start:
+            ends[digest] = end
+            if (start, end) not in places:
+                yield start, end, len(words), digest
+
+
 def units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """(`doc_id`, `start`, `end`, `n_words`, `digest`) for each unit with enough words."""
     short_batches(documents.sparkSession)
-    pattern = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends_of = regex.compile(pattern)
         for batch in batches:
             rows, start, end, size, digest = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
-                for m in ends_of.finditer(text.as_py() or ""):
-                    words = m.group().lower().split()
-                    if len(words) >= min_words:
-                        rows.append(row)
-                        start.append(m.start())
-                        end.append(m.end())
-                        size.append(len(words))
-                        digest.append(_digest(words))
+                for a, b, n, d in _units_of(text.as_py() or "", unit, min_words):
+                    rows.append(row)
+                    start.append(a)
+                    end.append(b)
+                    size.append(n)
+                    digest.append(d)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())),
@@ -89,7 +121,7 @@ def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = MI
 
 
 def without_repeats(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """`documents` with `clean_text` and `removed`, the spans that were cut out.
+    """`documents` with `clean_text` and `removed`, the spans that were cut out, sorted; they may overlap.
 
     Rows with a NULL `doc_id` keep their text.
     """
@@ -104,8 +136,8 @@ def without_repeats(documents: DataFrame, unit: str = "line", min_words: int = M
         "removed",
         begin,
         lambda s, c: F.struct(
-            c["end"].alias("at"),
-            F.concat(s["parts"], F.array(text.substr(s["at"] + 1, c["start"] - s["at"]))).alias("parts"),
+            F.greatest(s["at"], c["end"]).alias("at"),
+            F.concat(s["parts"], F.array(text.substr(s["at"] + 1, F.greatest(c["start"] - s["at"], F.lit(0))))).alias("parts"),
         ),
         lambda s: F.array_join(F.concat(s["parts"], F.array(text.substr(s["at"] + 1, F.char_length(text)))), ""),
     )

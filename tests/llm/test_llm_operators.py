@@ -332,6 +332,27 @@ def test_units_keep_their_first_place(spark, texts):
     assert {(r.doc_id, r.start) for r in unit_dedup.repeated_units(documents(spark, texts)).collect()} == expected
 
 
+def test_passages_inside_lines_are_found(spark, tmp_path):
+    from notecode.llm.queries import op8_line_dedup
+
+    passage = "It was a long day at the old mill. Rain fell. Wind blew. No one came. They all sat by the fire and said nothing."
+    values = [f"Some words before {passage} And after it.", f"Quite another start {passage} Then more.", "Go. " * 30, None, "", "\n \n"]
+    values += [values[0], "Rain fell. Wind blew. No one came. All new here."]
+    docs = documents(spark, values)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spans = {i: [] for i in range(len(values))}
+    for r in op8_line_dedup(spark, str(tmp_path)).collect():
+        spans[r.doc_id].append((r.start, r.end))
+    cleaned = {r.doc_id: r.clean_text for r in unit_dedup.without_repeats(docs, unit_dedup.PASSAGE).collect()}
+    for i, text in enumerate(values):
+        if text:
+            cut = {k for a, b in spans[i] for k in range(a, b)}
+            assert cleaned[i] == "".join(c for k, c in enumerate(text) if k not in cut)
+    assert cleaned[0] == values[0] and cleaned[6] == "" and cleaned[7] == values[7]
+    assert cleaned[1] == "Quite another start It was a long day at the old mill. Then more."
+    assert cleaned[2] == "Go. " * 14  # equal runs within a text do not overlap
+
+
 def test_cotraining_learns_from_both_views(spark):
     draw = random.Random(9)
     good, bad = ["river", "house", "window", "garden"], ["buy!!", "win$$", "click%%", "free##"]
