@@ -1,8 +1,9 @@
 """Line-first cleaning: rules per line, then the documents that lose too much text are rejected.
 
-DataFrame operations only. A line fails when it is bare navigation, boilerplate, made of symbols or
-bars, or an unpunctuated fragment. Failing lines are removed; a document is rejected when it fails the
-base limits, when less than `MIN_KEPT` of its words remain, or fewer than `MIN_WORDS`.
+DataFrame operations only. A line fails when it is bare navigation, boilerplate, made of symbols, has
+bars for a fifth of its words or more, or does not end with punctuation, however long it is. Failing
+lines are removed; a document is rejected when it fails the base limits, when less than `MIN_KEPT` of
+its words remain, or fewer than `MIN_WORDS`.
 
 Windows of five words are compared by 64-bit hashes within their document.
 
@@ -25,7 +26,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_KEPT = 0.5
 
-ENDS_WELL = r"[.!?:;…\"'”’»)\]][\x20\x09-\x0D]*$"
+ENDS_WELL = r"[.!?:;…\"'”’»)\]。！？：；」』）؟۔।։።][\x20\x09-\x0D]*$"
 NAVIGATION = (
     r"(?i)^\W*+(home|menu|next|previous|back to top|read more|click here|share( this)?|log ?in|sign (in|up)|"
     r"subscribe|follow us|contact us|about us|search|skip to content|site ?map)\b(\W++\w++){0,3}+\W*+$"
@@ -43,8 +44,10 @@ BOILERPLATE = (
     "copyright (c)",
     "powered by",
 )
-FRAGMENT = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){1,3}+$"
 MAX_SYMBOL_SHARE = 0.1
+MAX_BAR_SHARE = 0.2
+# Words of bars and bullets only, as between the entries of a menu; "&", "$" and "%" are words of prose too.
+BAR = r"(?<![^\x20\x09-\x0D])[#*|<>¦·•›→]++(?![^\x20\x09-\x0D])"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -65,14 +68,16 @@ def n_symbols(text: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line is to be removed; lines without a word stay."""
-    fragment = line.rlike(FRAGMENT) & ~line.rlike(ENDS_WELL)
+    unfinished = ~line.rlike(ENDS_WELL)
     symbols = n_symbols(line) > MAX_SYMBOL_SHARE * F.char_length(line)
+    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]++"))
+    bars = line.rlike(BAR) & (F.regexp_count(line, F.lit(BAR)) >= MAX_BAR_SHARE * n_words)
 
     def boilerplate(low: Column) -> Column:
         return reduce(lambda a, b: a | b, [low.contains(b) for b in BOILERPLATE])
 
     spoken = line.rlike(r"[^\x20\x09-\x0D]")
-    return spoken & (fragment | line.rlike(NAVIGATION) | symbols | _let(F.lower(line), boilerplate))
+    return spoken & (unfinished | line.rlike(NAVIGATION) | symbols | bars | _let(F.lower(line), boilerplate))
 
 
 def repeated_words(tokens: Column) -> Column:

@@ -283,6 +283,17 @@ def test_lines_are_removed_first(spark):
     assert not rows[1].kept
 
 
+def test_menus_and_unfinished_lines_fail(spark):
+    good = "This is a sentence that stays because it is complete, with salt & pepper."
+    other = "Another one follows, which says something else and ends well."
+    menu = " | ".join(f"department{i}" for i in range(12)) + "."
+    open_end = "a line of many words that goes on and on without ever coming to its end"
+    values = [menu, f"{good}\n{menu}\n{other}\nAll of it is there for a reason that everybody understands.", f"{good}\n{open_end}", "Salt & pepper.\n" + good, good + "\n今日 は 天気 が いい。"]
+    rows = line_quality.judge(documents(spark, values)).orderBy("doc_id").collect()
+    assert [r.kept for r in rows] == [False, True, False, True, True]
+    assert [r.clean_text for r in rows] == ["", f"{good}\n{other}\nAll of it is there for a reason that everybody understands.", good, values[3], values[4]]
+
+
 def test_mix_meets_targets(spark):
     draw = random.Random(4)
     sources = [draw.choice(["a", "a", "a", "b", "c", None]) for _ in range(600)]
