@@ -1,15 +1,16 @@
 """A quality classifier by co-training of two views: a document's text and its metadata.
 
 The text view sees words, word endings and repeated words; the metadata view sees source, lang and
-length. Both are logistic regressions on hashed features. They are fitted on a bounded sample,
-`LABELLED` labelled documents and a pool of `POOL` others, drawn by a hash of the id. In each round a
-view labels the pool documents it is surest of, and these join the training rows of the other view.
-On labelled documents that were kept aside, each view is calibrated and the two are weighed. The
-result scores every document by its whole text.
+length. Both are logistic regressions on hashed features. They are fitted on a bounded sample of the
+labelled documents, drawn per class by a hash of the id. In each round both views score all unlabelled
+documents on Spark; those that a view is surest of, by turns of source and lang, join the training rows
+of the other view. On labelled documents that were kept aside per class, each view is calibrated to the
+shares of the classes in all labels, and the two are weighed. The result scores every document by its
+whole text.
 
 Defined results: NULL texts, sources, langs and lengths are values like others; labels without
-quality are not used, and of several labels of a document the lowest holds; without labels of both
-kinds every score is the share of good labels, 1 if there are none; equal rows give equal scores;
+quality are not used, and of several labels of a document the lowest holds; without labelled
+documents of both kinds every score is the share of good labels, 1 if there are none; equal rows give equal scores;
 empty input gives no rows.
 """
 
@@ -18,16 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notecode.llm.words import blocks, hashed_words, word_places
 from notecode.sources.shared_folder import stored
 
-LABELLED = 8_000
-POOL = 8_000
+LABELLED = 8_000  # labelled documents that are fitted or kept aside, half of them for each class
 ROUNDS = 3
-PER_ROUND = 400  # pool documents that a view labels in a round
+PER_ROUND = 400  # documents that a view labels in a round
 SURE = 0.9
 TEXT_BUCKETS = 1 << 13
 ENDINGS = 1 << 10
@@ -152,76 +152,143 @@ class Views:
         return tuple(1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (t, m, self.joint @ np.stack([t, m, np.ones_like(t)])))
 
 
-def _calibrated(columns: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def _calibrated(columns: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic regression on a few dense columns by Newton steps; weights, then the bias."""
     x = np.stack([*columns, np.ones(len(y))], 1)
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         ridge = 1e-2 * np.eye(len(w))
-        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (p - y) + 1e-2 * w)
+        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + ridge, x.T @ (weight * (p - y)) + 1e-2 * w)
     return w
 
 
-def cotrain(text: Sparse, meta: Sparse, quality: np.ndarray, aside: np.ndarray) -> Views:
-    """Fit both views. `quality` is 0 or 1, or -1 for pool rows; rows `aside` only calibrate."""
-    known = quality >= 0
-    labels = {v: np.where(known, quality, 0).astype(float) for v in ("text", "meta")}
-    weights = {v: (known & ~aside).astype(float) for v in ("text", "meta")}
-    views = {"text": (text, _WIDTH), "meta": (meta, META_BUCKETS)}
-    for number in range(ROUNDS + 1):
-        fitted = {v: s.fit(labels[v], weights[v], width) for v, (s, width) in views.items()}
-        if number == ROUNDS:
-            break
-        for v, other in (("text", "meta"), ("meta", "text")):
-            z = views[v][0].scores(fitted[v])
-            line = _calibrated([z[aside & known]], quality[aside & known])
-            p = 1 / (1 + np.exp(-np.clip(line[0] * z + line[1], -30, 30)))
-            free = ~known & (weights[other] == 0)
-            for value, sure in ((1, p), (0, 1 - p)):
-                share = max(0.1, (quality[known] == value).mean())
-                best = np.flatnonzero(free & (sure >= SURE))
-                best = best[np.argsort(-sure[best], kind="stable")][: int(PER_ROUND * share)]
-                labels[other][best] = value
-                weights[other][best] = 0.5
-    z = {v: s.scores(fitted[v]) for v, (s, _) in views.items()}
-    at = aside & known
-    lines = {v: _calibrated([z[v][at]], quality[at]) for v in z}
-    joint = _calibrated([lines[v][0] * z[v][at] + lines[v][1] for v in ("text", "meta")], quality[at])
-    return Views(fitted["text"], fitted["meta"], lines["text"], lines["meta"], joint)
-
-
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` rows at most, drawn by a hash of the id."""
-    share = min(1.0, most / max(rows.count(), 1))
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
+def fitted_views(known: "Rows", given: dict[str, "Rows"]) -> Views:
+    """Fit both views on the labelled rows and those the other view has labelled; calibrate them aside."""
+    weights, z = {}, {}
+    for v, width in (("text", _WIDTH), ("meta", META_BUCKETS)):
+        rows = known.joined(given[v])
+        weight = np.append(known.fitted.astype(float), np.full(given[v].n, 0.5))
+        weights[v] = rows.sparse(v).fit(rows.quality.astype(float), weight, width)
+        z[v] = known.sparse(v).scores(weights[v])[known.aside]
+    y, weight = known.quality[known.aside], known.weight[known.aside]
+    lines = {v: _calibrated([z[v]], y, weight) for v in z}
+    joint = _calibrated([lines[v][0] * z[v] + lines[v][1] for v in ("text", "meta")], y, weight)
+    return Views(weights["text"], weights["meta"], lines["text"], lines["meta"], joint)
+
+
+class Rows:
+    """Features and labels of documents on the driver."""
+
+    def __init__(self, text_at: list, text_x: list, meta_at: list, quality: np.ndarray):
+        self.columns = text_at, text_x, meta_at
+        self.quality, self.n = quality, len(quality)
+
+    @classmethod
+    def read(cls, table: pa.Table) -> "Rows":
+        flat = lambda c: [v.values.to_numpy() for v in table.column(c)]
+        return cls(flat("text_at"), flat("text_x"), flat("meta_at"), table.column("quality").to_numpy())
+
+    def joined(self, other: "Rows") -> "Rows":
+        columns = (a + b for a, b in zip(self.columns, other.columns))
+        return Rows(*columns, np.append(self.quality, other.quality).astype(int))
+
+    def sparse(self, view: str) -> Sparse:
+        return Sparse(*self.columns[:2]) if view == "text" else Sparse(self.columns[2], None)
+
+    def split(self, place: np.ndarray, sizes: dict[int, int]) -> None:
+        """Keep a quarter of each class aside, by the hash `place`; a single document serves both ways.
+
+        Calibration weighs the rows of a class by its `sizes` among all labels.
+        """
+        self.aside, self.fitted = np.zeros(self.n, bool), np.zeros(self.n, bool)
+        self.weight = np.zeros(self.n)
+        for value in (0, 1):
+            own = self.quality == value
+            hashes = np.unique(place[own])
+            cut = hashes[max(1, len(hashes) // 4) - 1]
+            self.aside |= own & (place <= cut)
+            self.fitted |= own & ((place > cut) | (len(hashes) == 1))
+            self.weight[own] = sizes[value] / (self.aside & own).sum()
+        self.weight *= self.aside.sum() / sum(sizes.values())
+
+
+def _sampled(known: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """About half of `LABELLED` labels of each class at most, drawn by a hash of the id."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
+    most = {value: int(min(1.0, LABELLED / 2 / n) * (1 << 40)) for value, n in sizes.items()}
+    return known.filter(place < F.when(F.col("quality") == 0, most[0]).otherwise(most[1]))
+
+
+def _surest(scored: DataFrame, chosen: DataFrame, good: float) -> DataFrame:
+    """(`doc_id`, `view`, `quality`): what each view labels for the other, named `view`.
+
+    Sources and langs take turns, the surest document of each first.
+    """
+    each = [
+        F.struct(F.lit(other).alias("view"), F.lit(value).alias("quality"), (p if value else 1 - p).alias("sure"))
+        for other, p in (("meta", F.col("p_text")), ("text", F.col("p_meta")))
+        for value in (0, 1)
+    ]
+    rows = scored.select("doc_id", "source", "lang", F.explode(F.array(*each)).alias("c"))
+    rows = rows.select("doc_id", "source", "lang", "c.*").filter(F.col("sure") >= SURE)
+    rows = rows.join(F.broadcast(chosen), ["doc_id", "view"], "left_anti")  # of bounded size
+    order = [F.desc("sure"), F.xxhash64("doc_id"), "doc_id"]
+    turn = F.row_number().over(Window.partitionBy("view", "quality", "source", "lang").orderBy(*order))
+    rows = rows.withColumn("turn", turn).filter(F.col("turn") <= PER_ROUND)
+    number = F.row_number().over(Window.partitionBy("view", "quality").orderBy("turn", *order))
+    most = {value: int(PER_ROUND * max(0.1, share)) for value, share in ((0, 1 - good), (1, good))}
+    rows = rows.withColumn("number", number).filter(F.col("number") <= PER_ROUND)
+    rows = rows.filter(F.col("number") <= F.when(F.col("quality") == 0, most[0]).otherwise(most[1]))
+    return rows.select("doc_id", "view", "quality")
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> Views | float:
     """The fitted views, or the share of good labels if they are not of both kinds."""
     known = labels.dropna(subset=["doc_id", "quality"]).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    known = stored(_sampled(known, LABELLED), "sampled-labels")
+    ids = documents.select("doc_id").dropna().distinct()
+    known = stored(known.join(ids, "doc_id", "left_semi"), "known-labels")
+    sizes = {0: 0, 1: 0} | {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
+    good = sizes[1] / max(sum(sizes.values()), 1)
+    if not (sizes[0] and sizes[1]):
+        return good if sum(sizes.values()) else 1.0
     rows = documents.select("doc_id", "text", metadata(documents).alias("meta_at"))
-    of_known = rows.join(F.broadcast(known), "doc_id")  # of bounded size
-    pool = _sampled(rows, POOL).join(F.broadcast(known), "doc_id", "left_anti").withColumn("quality", F.lit(-1))
-    table = stored(features(of_known.select("doc_id", "text", "meta_at", "quality").union(pool.select("doc_id", "text", "meta_at", "quality"))), "sample-features")
-    table = table.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0).orderBy("doc_id").toArrow()
-    quality = table.column("quality").to_numpy()
-    aside = table.column("aside").to_numpy().astype(bool)
-    for part in (aside, ~aside):
-        if len(set(quality[part & (quality >= 0)])) < 2:
-            return float(quality[quality >= 0].mean()) if (quality >= 0).any() else 1.0
-    flat = lambda c: [v.values.to_numpy() for v in table.column(c)]
-    return cotrain(Sparse(flat("text_at"), flat("text_x")), Sparse(flat("meta_at"), None), quality, aside)
+
+    def read(wanted: DataFrame) -> pa.Table:
+        found = rows.join(F.broadcast(wanted), "doc_id")  # of bounded size
+        table = stored(features(found.select("doc_id", "text", "meta_at", "quality")), "sample-features")
+        place = F.xxhash64("doc_id", F.lit("aside"))
+        return table.withColumn("place", place).orderBy("doc_id", F.hash("text_at", "text_x", "meta_at")).toArrow()
+
+    table = read(stored(_sampled(known, sizes), "sampled-labels"))
+    sample = Rows.read(table)
+    sample.split(table.column("place").to_numpy(), sizes)
+    nothing = Rows([], [], [], np.zeros(0, int))
+    given = {"text": nothing, "meta": nothing}
+    chosen = documents.sparkSession.createDataFrame([], f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, view string")
+    for number in range(ROUNDS + 1):
+        model = fitted_views(sample, given)
+        if number == ROUNDS:
+            return model
+        free = scores(documents, model).join(known, "doc_id", "left_anti").filter(F.col("doc_id").isNotNull())
+        new = stored(_surest(free, chosen, good), "pseudo-labels")
+        chosen = chosen.union(new.select("doc_id", "view"))
+        for v in given:
+            given[v] = given[v].joined(Rows.read(read(new.filter(F.col("view") == v).dropDuplicates(["doc_id"]))))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(`doc_id`, `p_text`, `p_meta`, `score`, `kept`) of every document."""
     documents = documents.select("doc_id", "text", "source", "lang", "n_chars")
-    labels = labels.select("doc_id", "quality")
-    model = learn(documents, labels)
+    model = learn(documents, labels.select("doc_id", "quality"))
+    return scores(documents, model).drop("source", "lang")
+
+
+def scores(documents: DataFrame, model: Views | float) -> DataFrame:
+    """(`doc_id`, `source`, `lang`, `p_text`, `p_meta`, `score`, `kept`) of every document."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    same = ["doc_id", "source", "lang"]
+    kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -241,9 +308,9 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
                     meta = np.array(part.column("meta_at").to_pylist())
                     columns = model.combine(text, model.meta[meta].sum(1) + model.meta[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *map(pa.array, columns), pa.array(columns[2] >= KEEP)],
-                    ["doc_id", "p_text", "p_meta", "score", "kept"],
+                    [*(part.column(c) for c in same), *map(pa.array, columns), pa.array(columns[2] >= KEEP)],
+                    [*same, "p_text", "p_meta", "score", "kept"],
                 )
 
-    rows = documents.select("doc_id", "text", metadata(documents).alias("meta_at"))
-    return rows.mapInArrow(run, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
+    rows = documents.select(*same, "text", metadata(documents).alias("meta_at"))
+    return rows.mapInArrow(run, f"{kinds}, p_text double, p_meta double, score double, kept boolean")

@@ -381,3 +381,25 @@ def test_cotraining_learns_from_both_views(spark):
     assert all((found[i].p_meta >= 0.5) == bool(i % 2) for i in range(600))
     nothing = cotraining.quality_scores(docs, known.limit(0)).collect()
     assert {r.score for r in nothing} == {1.0}
+
+
+def test_cotraining_holds_with_few_bad_labels(spark, monkeypatch):
+    monkeypatch.setattr(cotraining, "LABELLED", 200)
+    draw = random.Random(3)
+    good, bad = ["river", "house", "window", "garden"], ["buy!!", "win$$", "click%%", "free##"]
+    quality = [int(i % 400 != 7) for i in range(4000)]
+    texts = [" ".join(draw.choices(good if y else bad, k=20)) for y in quality]
+    docs = documents(spark, texts, source=["s1" if y else "s2" for y in quality])
+    known = spark.createDataFrame([(i, y) for i, y in enumerate(quality) if i < 3000], "doc_id bigint, quality int")
+    found = {r.doc_id: r for r in cotraining.quality_scores(docs, known).collect()}
+    assert len({r.score for r in found.values()}) > 1
+    assert all(found[i].kept == bool(y) for i, y in enumerate(quality))
+
+
+def test_each_source_takes_its_turn(spark):
+    scored = [(i, "big", "en", 0.99, 0.5) for i in range(2000)] + [(5000, "small", "en", 0.95, 0.5), (5001, "none", "en", 0.6, 0.5)]
+    scored = spark.createDataFrame(scored, "doc_id bigint, source string, lang string, p_text double, p_meta double")
+    nothing = spark.createDataFrame([], "doc_id bigint, view string")
+    rows = cotraining._surest(scored, nothing, 0.5).collect()
+    assert len(rows) == 200 and {(r.view, r.quality) for r in rows} == {("meta", 1)}
+    assert 5000 in {r.doc_id for r in rows} and 5001 not in {r.doc_id for r in rows}
