@@ -35,11 +35,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", found).select(*docs.columns)
 
 
+def one_row_per_document(docs: DataFrame) -> DataFrame:
+    """Rows that share an id are one document: of them the row with the least text stays, NULL last.
+
+    Rows without an id are one document if they share a text. Texts of other ids are not shuffled.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(F.col("text").isNull(), "text", *others)).alias("least")
+    columns = [c if c == "doc_id" else F.col(f"least.{c}").alias(c) for c in docs.columns]
+    with_id, without = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    repeated = stored(with_id.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
+    again = jaccard_join.only(with_id, repeated, "doc_id", "inner").groupBy("doc_id").agg(least)
+    nameless = without.groupBy("doc_id", F.sha2("text", 256)).agg(least)
+    reduced = stored(again.select(*columns).unionByName(nameless.select(*columns)), "repeated-documents")
+    rest = jaccard_join.only(with_id, repeated, "doc_id", "left_anti").select(*docs.columns)
+    return rest.unionByName(reduced)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join stays: the one with the least id.
 
-    Rows that share an id count as one document: of them the row with the least text stays.
+    Each document is one row, see `one_row_per_document`; without an id it has no near duplicates.
     """
+    docs = one_row_per_document(docs)
     found = jaccard_join.near_duplicates(docs)
     gone = stored(found.filter("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
     return jaccard_join.only(docs, gone, "doc_id", "left_anti").select(*docs.columns)
