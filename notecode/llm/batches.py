@@ -1,16 +1,21 @@
-"""The size of the Arrow batches in which texts go to Python."""
+"""The size of the Arrow batches in which rows go to Python."""
 
 from pyspark.sql import SparkSession
 
 TEXT_ROWS = 1_000
-_KEY, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+BATCH_BYTES = 8 << 20
+_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BYTES, _DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Let a batch hold `TEXT_ROWS` rows, unless the session has a setting of its own.
+    """Let a batch hold `TEXT_ROWS` rows and `BATCH_BYTES` bytes at most.
 
-    Spark's default is meant for short rows; with documents it costs each worker some 100 MB more. It
-    changes the layout only, never a result.
+    A setting of the session that differs from Spark's own stays. The defaults are meant for short
+    rows; a batch of long documents would cost each worker hundreds of MB. A row larger than a batch
+    is a batch of its own. It changes the layout only, never a result.
     """
-    if spark.conf.get(_KEY) == _DEFAULT:
-        spark.conf.set(_KEY, str(TEXT_ROWS))
+    if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, str(TEXT_ROWS))
+    if spark.conf.get(_BYTES) == _DEFAULT_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))

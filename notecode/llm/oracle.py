@@ -69,9 +69,84 @@ select s.doc_id, s.size::bigint as size, t.source_size, t.target, (s.size * coal
 from sized s join targets t on s.source is not distinct from t.source
 left join taken k on k.source is not distinct from s.source and k.key = s.key"""
 
+_TRIE = """
+with keyed as (
+  select conv_id, turn, length(coalesce(text, '')) as chars,
+    left(sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')), 32) as key
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, conv_id::varchar as name, list({'key': key, 'chars': chars} order by turn nulls first, key) as s
+  from keyed group by conv_id),
+hashed as (
+  select conv_id, s, xor(list_reduce(
+      list_prepend(4294967295::bigint, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::bigint)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+        lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 6 as h
+  from own),
+whole as (
+  select a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) as s
+  from hashed a left join hashed b on b.conv_id = a.conv_id - a.conv_id % 100),
+prefixes as (
+  select conv_id, d, sha256(array_to_string(list_transform(s[1:d], lambda x: x.key), ',')) as p,
+    case when d > 0 then s[d].chars else 0 end as chars, len(s) = d as ended
+  from (select conv_id, s, unnest(range(0, len(s) + 1)) as d from whole)),
+nodes as (
+  select p, d, min(conv_id) as c, count(*) as n, min(chars) as chars,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ended), '')) as ends_sha256
+  from prefixes group by p, d),
+parents as (select n.p, q.p as parent from nodes n join prefixes q on q.conv_id = n.c and q.d = n.d - 1),
+kids as (select parent, count(*) as k from parents group by parent),
+owned as (
+  select n.*, coalesce(k, 0) as k, case when k is null then 1 else 0 end as leaf, (n - 1) * chars as saved
+  from nodes n left join kids on parent = p),
+below as (
+  select q.p, sum(leaf) as leaves, sum(saved) as saved
+  from owned o join prefixes q on q.conv_id = o.c and q.d <= o.d group by q.p)
+select o.c as conv_id, o.d as depth, m.c as parent_conv_id, o.n as n_convs, o.k as n_children,
+  b.leaves::bigint as n_leaves, b.saved::bigint as saved_tokens, o.ends_sha256
+from owned o join below b on b.p = o.p left join parents r on r.p = o.p left join nodes m on m.p = r.parent"""
+
+
+def _nearest(book: str) -> str:
+    """The nearest entry of a book for every part of every vector, as (`e.d`, `e.entry`)."""
+    return f"""(
+  select r, part, min({{'d': d, 'entry': entry}}) as e from (
+    select r, part, entry, sum((x - y) * (x - y))::bigint as d from comps join {book} using (part, pos)
+    group by r, part, entry) group by r, part)"""
+
+
+def _moved(book: str) -> str:
+    """The book after a round: its entries moved to the middle of what they own."""
+    return f"""(
+  select part, entry, pos, coalesce(z, y) as y from {book} left join (
+    select part, e.entry as entry, pos, floor(sum(x)::double / count(*))::bigint as z
+    from {_nearest(book)} join comps using (r, part) group by all) using (part, entry, pos))"""
+
+
+_CODES = f"""
+with kept as (
+  select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+comps as (
+  select r, i // (n // 16) as part, i % (n // 16) as pos, v[i + 1] as x
+  from (select r, v, len(v) as n, unnest(range(0, len(v))) as i from kept)),
+book0 as (select part, r - 1 as entry, pos, x as y from comps where r <= 64),
+book1 as {_moved("book0")},
+book2 as {_moved("book1")},
+coded as (
+  select r, string_agg(printf('%02x', e.entry::integer), '' order by part) as code, sum(e.d)::bigint as error
+  from {_nearest("book2")} group by r),
+digest as (select sha256(string_agg(y::varchar, ',' order by part, entry, pos)) as codebooks_sha256 from book2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from kept join coded using (r) cross join digest"""
+
 LLM_ORACLE: dict[str, str] = {
     "op3_warc_chunks": _WARC,
     "op5_grid_order": _VECTORS,
     "op6_jaccard_regions": _JACCARD,
     "op7_fair_mix": _MIX,
+    "op11_prefix_trie": _TRIE,
+    "op12_part_codes": _CODES,
 }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from notecode.llm import cotraining, embedding_join, jaccard_join, language, line_quality, mixing, personal_data, pieces, unit_dedup, warc
+from notecode.llm import cotraining, embedding_join, jaccard_join, language, line_quality, mixing, part_codes, personal_data, pieces, prefix_trie, secret_scan, unit_dedup, warc
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.digests(_read(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, folder, "conversations"))
+
+
+def op12_part_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return part_codes.codes(_read(spark, folder, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(_read(spark, folder, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining": op1_cotraining,
     "op2_language_spans": op2_language_spans,
@@ -63,5 +75,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pieces": op9_pieces,
     "op10_personal_data": op10_personal_data,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_part_codes": op12_part_codes,
+    "op13_secret_scan": op13_secret_scan,
     "pipeline": corpus_pipeline.run,
 }

@@ -17,13 +17,13 @@ def shown(value):
 
 def test_all_are_registered():
     assert set(LLM_QUERIES) <= set(registered.queries())
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {name.split("_")[0] for name in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {name.split("_")[0] for name in LLM_QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLE))
 def test_query_equals_sql(spark, name):
     database = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         database.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     expected = database.sql(LLM_ORACLE[name])
     result = LLM_QUERIES[name](spark, FOLDER)
