@@ -1,5 +1,10 @@
-"""The size of the Arrow batches in which rows go to Python."""
+"""The memory of Python workers: the size of Arrow batches, and what is handed back after a task."""
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 TEXT_ROWS = 1_000
@@ -19,3 +24,29 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, str(TEXT_ROWS))
     if spark.conf.get(_BYTES) == _DEFAULT_BYTES:
         spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def hand_back() -> None:
+    """Return freed memory to the system; allocators would keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """`run` over the batches of a task, after which the worker forgets its tables and hands memory back.
+
+    Workers live on from task to task and from stage to stage, and what each stage leaves would add up.
+    """
+
+    @wraps(run)
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            hand_back()
+
+    return tidy

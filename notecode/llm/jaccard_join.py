@@ -31,9 +31,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notecode.llm.batches import short_batches
+from notecode.llm.batches import short_batches, trimmed
 from notecode.llm.components import components
-from notecode.llm.words import blocks, hashed_words, shingles
+from notecode.llm.words import blocks, forget_powers, hashed_words, shingles
 from notecode.sources.shared_folder import discard, stored
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def document_sets(documents: DataFrame) -> DataFrame:
                 )
 
     return documents.select("doc_id", "text").mapInArrow(
-        run, f"{_id_type(documents)}, n_shingles long, digest binary, first array<long>, sketch array<long>"
+        trimmed(run, forget_powers), f"{_id_type(documents)}, n_shingles long, digest binary, first array<long>, sketch array<long>"
     )
 
 
@@ -167,7 +167,7 @@ def reordered(documents: DataFrame, sent: Broadcast) -> DataFrame:
                 )
 
     schema = f"{_id_type(documents)}, n long, first array<long>, late array<long>"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(trimmed(run, forget_powers), schema)
 
 
 def whole_sets(documents: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def whole_sets(documents: DataFrame) -> DataFrame:
                 )
 
     schema = f"{_id_type(documents)}, hashes array<long>, repeated boolean"
-    return documents.select("doc_id", "text", "repeated").mapInArrow(run, schema)
+    return documents.select("doc_id", "text", "repeated").mapInArrow(trimmed(run, forget_powers), schema)
 
 
 def small_regions(seeds: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def small_regions(seeds: DataFrame) -> DataFrame:
     return (
         seeds.repartition("shingle")
         .sortWithinPartitions("shingle", "doc_id")
-        .mapInArrow(run, f"shingle long, a {kind}, b {kind}")
+        .mapInArrow(trimmed(run), f"shingle long, a {kind}, b {kind}")
     )
 
 
@@ -354,7 +354,7 @@ def remaining_pairs(placed: DataFrame, sketches: DataFrame) -> DataFrame:
         .join(sketches, "doc_id")
         .repartition("shingle", "block", "part")
         .sortWithinPartitions("shingle", "block", "part", "member")
-        .mapInArrow(_compare, f"a {_kind(placed)}, b {_kind(placed)}")
+        .mapInArrow(trimmed(_compare), f"a {_kind(placed)}, b {_kind(placed)}")
     )
     return stored(found.distinct(), "remaining-pairs")
 
@@ -431,6 +431,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = links.union(verified(documents, possible(more_pivot_pairs(placed)), repeated))
     placed = stored(_placed(members, links), "placed")
     links = links.union(verified(documents, remaining_pairs(placed, sketches), repeated))
+    links = links.union(_same_id(filled, classes))
     of_node = components(links, "documents").select(F.col("node").alias("doc_id"), "component")
     # Rows that share an id share its component, whichever class they are of.
     own = classes.select("digest", "doc_id").join(of_node, "doc_id", "left")
@@ -442,6 +443,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return with_set.union(empty)
 
 
+def _same_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) between the classes that rows of one id are in, as a star for each id."""
+    digests = filled.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    several = stored(digests.filter("least != most").select("doc_id"), "ids-of-several")
+    rows = only(filled.select("doc_id", "digest"), several, "doc_id").distinct()
+    of_class = classes.select("digest", F.col("doc_id").alias("a"))
+    rows = stored(rows.join(of_class, "digest").select("doc_id", "a"), "classes-of-ids")
+    least = rows.groupBy("doc_id").agg(F.min("a").alias("b"))
+    return rows.join(least, "doc_id").filter("a != b").select("b", F.col("a").alias("other")).toDF("a", "b")
+
+
 def _seeds(
     documents: DataFrame, classes: DataFrame, late: np.ndarray
 ) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -453,15 +465,13 @@ def _seeds(
     late = np.sort(late)
     sent = documents.sparkSession.sparkContext.broadcast(late)
 
-    @F.pandas_udf("boolean")
-    def has_late(first):
-        import pandas as pd
-
-        flat = np.concatenate(first.to_list()).view(np.uint64) if len(first) else late[:0]
+    @F.arrow_udf("boolean")
+    def has_late(first: pa.Array) -> pa.Array:
+        flat = first.flatten().to_numpy().view(np.uint64)
         place = np.minimum(np.searchsorted(sent.value, flat), len(sent.value) - 1)
         hit = np.concatenate([[0], np.cumsum(sent.value[place] == flat)])
-        ends = np.cumsum(first.map(len).to_numpy(np.int64))
-        return pd.Series(np.diff(hit[np.concatenate([[0], ends])]) > 0)
+        ends = np.cumsum(first.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.array(np.diff(hit[np.concatenate([[0], ends])]) > 0)
 
     def exploded(rows: DataFrame, column: str) -> DataFrame:
         return rows.select(F.explode(column).alias("shingle"), "doc_id", "n")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notecode.llm.batches import short_batches
+from notecode.llm.batches import short_batches, trimmed
 from notecode.llm.words import blocks, mixed
 from notecode.sources.shared_folder import stored
 
@@ -130,7 +130,7 @@ def count_trigrams(documents: DataFrame) -> DataFrame:
 
     rows = documents.select("text", F.col("lang").cast("string").alias("lang")).dropna()
     return (
-        rows.mapInArrow(run, "lang string, bucket long, n long")
+        rows.mapInArrow(trimmed(run), "lang string, bucket long, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
@@ -275,20 +275,27 @@ def label(documents: DataFrame, model: Model, with_spans: bool = True) -> DataFr
     short_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     spans = ", spans array<struct<start:int,end:int,lang:string>>" if with_spans else ""
+    kinds = {"lang_pred": pa.string(), "score": pa.float64()}
+    if with_spans:
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
+        kinds["spans"] = pa.list_(span)
 
-    @F.pandas_udf(f"lang_pred string, score double{spans}")
-    def run(texts):
-        import pandas as pd
-
-        values = [t if isinstance(t, str) else "" for t in texts]
-        found = []
+    def labels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         most = max(BLOCK_CHARS * 16 // max(len(sent.value.langs), 4) ** 2, 10_000)
-        for a, b in blocks([len(t) for t in values], most):
-            found += label_texts(sent.value, values[a:b])
-        columns = {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
-        if with_spans:
-            columns["spans"] = [[{"start": s, "end": e, "lang": x} for s, e, x in f[2]] for f in found]
-        return pd.DataFrame(columns)
+        for batch in batches:
+            texts = [t or "" for t in batch.to_pylist()]
+            found = []
+            for a, b in blocks([len(t) for t in texts], most):
+                for lang, score, places in label_texts(sent.value, texts[a:b]):
+                    one = {"lang_pred": lang, "score": score}
+                    if with_spans:
+                        one["spans"] = [{"start": s, "end": e, "lang": x} for s, e, x in places]
+                    found.append(one)
+            yield pa.array(found, pa.struct(list(kinds.items())))
+
+    @F.arrow_udf(f"lang_pred string, score double{spans}")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(labels)(batches)
 
     return documents.withColumn("_nc_label", run(F.col("text")))
 

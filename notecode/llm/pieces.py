@@ -6,7 +6,8 @@ chunks' ids in order. Each block of documents makes a table of its distinct chun
 segmented once, and the ids are put back by position. A worker keeps its table from block to block.
 
 Defined results: a NULL text is an empty one, whose ids are just begin and end; equal rows give equal
-rows; texts of any length are encoded whole; empty input gives no rows.
+rows; texts of any length are encoded whole; empty input gives no rows. The table is emptied after each
+task, so that later stages find the memory free.
 """
 
 import re
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from notecode.llm.batches import short_batches
+from notecode.llm.batches import short_batches, trimmed
 
 MARK = "▁"
 RUN = re.compile(" +[^ ]*")
@@ -143,4 +144,4 @@ def encode(
                     out["decoded"] = pa.array(decoded, pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(trimmed(run, lambda: _table(model_path).forget()), schema)

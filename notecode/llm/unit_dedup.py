@@ -9,7 +9,8 @@ sentences with enough words. Such units overlap, so spans to remove may too, and
 unit may lie partly in the repeat of another; each removed word still has an earlier copy that stays.
 
 Defined results: a NULL text has no units; rows with a NULL `doc_id` rank last; equal rows with the
-same `doc_id` share a place, and if it is the first, all of them keep it; empty input gives no rows;
+same `doc_id` share a place, and if it is the first, all of them keep it (`with_text` asks for equal texts
+as well); empty input gives no rows;
 other columns are not touched.
 """
 
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notecode.llm.batches import short_batches
+from notecode.llm.batches import short_batches, trimmed
 from notecode.sources.shared_folder import stored
 
 MIN_WORDS = 8
@@ -71,8 +72,13 @@ def _units_of(text: str, unit: str, min_words: int) -> Iterator[tuple[int, int,
                 yield start, end, len(words), digest
 
 
-def units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(`doc_id`, `start`, `end`, `n_words`, `digest`) for each unit with enough words."""
+def units(
+    documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, with_text: bool = False
+) -> DataFrame:
+    """(`doc_id`, `start`, `end`, `n_words`, `digest`) for each unit with enough words.
+
+    With `with_text`, `text_hash` tells the texts of rows apart that share an id.
+    """
     short_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +91,10 @@ def units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
                     end.append(b)
                     size.append(n)
                     digest.append(d)
+            kept = {c: batch.column(c).take(pa.array(rows, pa.int64())) for c in columns}
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())),
+                    **kept,
                     "start": pa.array(start, pa.int32()),
                     "end": pa.array(end, pa.int32()),
                     "n_words": pa.array(size, pa.int32()),
@@ -96,38 +103,47 @@ def units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS)
             )
 
     doc_id = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {doc_id}, start int, end int, n_words int, digest binary"
-    )
+    columns = ["doc_id", "text_hash"] if with_text else ["doc_id"]
+    schema = f"doc_id {doc_id}, {'text_hash bigint, ' if with_text else ''}start int, end int, n_words int, digest binary"
+    rows = documents.select("doc_id", "text")
+    if with_text:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(trimmed(run), schema)
 
 
-def repeated_units(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(
+    documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, with_text: bool = False
+) -> DataFrame:
     """The units to remove: (`doc_id`, `start`, `end`, `n_words`, `first_doc_id`, `first_start`).
 
-    The first place of each digest is an aggregate, which is stored, so that the join back is between
+    With `with_text`, rows of one id with different texts are told apart, and `text_hash` is added. The first place of each digest is an aggregate, which is stored, so that the join back is between
     two shuffles and Spark can split the rows of a frequent unit.
     """
-    found = stored(units(documents, unit, min_words), "units")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    found = stored(units(documents, unit, min_words, with_text), "units")
+    text = ["text_hash"] if with_text else []
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *text, "start")
     first = (
         found.groupBy("digest")
         .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+        .select("digest", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", *text, "start")])
     )
     first = stored(first, "first-units")
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))
-    return found.join(first, "digest").filter(~same).drop("digest")
+    if with_text:
+        same = same & (F.col("text_hash") == F.col("first_text_hash"))
+    return found.join(first, "digest").filter(~same).drop("digest", "first_text_hash")
 
 
 def without_repeats(documents: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """`documents` with `clean_text` and `removed`, the spans that were cut out, sorted; they may overlap.
 
-    Rows with a NULL `doc_id` keep their text.
+    Rows that share an id are told apart by their text. Rows with a NULL `doc_id` keep their text.
     """
+    of_text = F.xxhash64("text")
     cut = (
-        repeated_units(documents, unit, min_words)
-        .groupBy("doc_id")
+        repeated_units(documents, unit, min_words, with_text=True)
+        .groupBy("doc_id", F.col("text_hash").alias("_nc_hash"))
         .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     )
     text = F.col("text")
@@ -141,6 +157,5 @@ def without_repeats(documents: DataFrame, unit: str = "line", min_words: int = M
         ),
         lambda s: F.array_join(F.concat(s["parts"], F.array(text.substr(s["at"] + 1, F.char_length(text)))), ""),
     )
-    return documents.join(cut, "doc_id", "left").withColumn(
-        "clean_text", F.when(F.col("removed").isNull(), text).otherwise(parts)
-    )
+    cleaned = documents.withColumn("_nc_hash", of_text).join(cut, ["doc_id", "_nc_hash"], "left")
+    return cleaned.withColumn("clean_text", F.when(F.col("removed").isNull(), text).otherwise(parts)).drop("_nc_hash")

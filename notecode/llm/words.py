@@ -31,6 +31,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def forget_powers() -> None:
+    """Drop the powers, which are as many as the longest text has bytes."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def word_places(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of the bytes begin and end; the last byte is a blank."""
     blank = _IS_BLANK[joined]
