@@ -43,7 +43,8 @@ with sized as (
   select doc_id, source, text is not null and text <> '' as filled,
     case when text is null then 0
       else len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) end as size,
-    md5(coalesce(cast(doc_id as varchar), '')) || md5(coalesce(text, '')) as key from documents),
+    md5(md5(coalesce(cast(doc_id as varchar), '')) || md5(coalesce(text, ''))) as key, row_number() over () as r
+  from documents),
 sources as (select source, sum(size)::bigint as source_size from sized group by source),
 weighed as (
   select *, [5.0::double, 2.0::double, 1.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
@@ -57,17 +58,17 @@ targets as (
     least(coalesce(max(case when level * weight <= 3 * source_size then level end) over (), 0.0) * weight, 3.0 * source_size)::double as target
   from levels),
 queues as (
-  select *, sum(size) over (partition by source order by key)::bigint as total from sized where size > 0),
+  select *, sum(size) over (partition by source order by key, r rows unbounded preceding)::bigint as total
+  from sized where size > 0),
 laps as (
-  select q.source, q.key, q.size, (lap * source_size + total)::double / target as finish
+  select q.source, q.key, q.r, q.size, (lap * source_size + total)::double / target as finish
   from queues q join targets t on q.source is not distinct from t.source cross join range(0, 3) as r(lap) where target > 0),
-merged as (select *, sum(size) over (order by finish, source nulls first, key) as reached from laps),
-taken as (
-  select source, key, count(*) as n from merged
-  where reached <= (select sum(size) from sized) group by source, key)
+merged as (
+  select *, sum(size) over (order by finish, source nulls first, key, r rows unbounded preceding) as reached from laps),
+taken as (select r, count(*) as n from merged where reached <= (select sum(size) from sized) group by r)
 select s.doc_id, s.size::bigint as size, t.source_size, t.target, (s.size * coalesce(n, 0))::bigint as taken
 from sized s join targets t on s.source is not distinct from t.source
-left join taken k on k.source is not distinct from s.source and k.key = s.key"""
+left join taken k using (r)"""
 
 _TRIE = """
 with keyed as (
