@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 DataFrame operations only. Offsets count code points; ends are exclusive. The patterns take runs
-possessively and look behind instead of trying again inside a run, so that their time is in
-proportion to the text.
+possessively and look behind instead of trying again inside a run, and long texts are searched in
+pieces that no match can cross, so that time is in proportion to the text. Access keys and assigned
+secrets are kinds of their own.
 
 Defined results: a NULL text is an empty one and has no spans; equal rows give equal spans; spans of
 different kinds may overlap (masking merges them); empty input gives no rows.
@@ -80,10 +81,30 @@ KINDS = (
         0.3,
         r"\bssn\b|social security",
     ),
+    Kind(
+        "key",
+        "AKIA",
+        r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{14,}+(?![a-z])",
+        0.8,
+        "key|access|aws",
+    ),
+    Kind(
+        "secret",
+        "",
+        r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20{0,64}[:=]\x20{0,64}["']?[A-Za-z0-9+/_.=-]{12,}+""",
+        0.6,
+        "password|passwd|secret|token|key",
+    ),
 )
 
 _SPANS = "array<struct<start:int,end:int,found:string>>"
 
+PIECE_CHARS = 2048
+# The characters that a match of any kind may hold. No match goes on past another one, nor from a small
+# letter over a space to a small letter, so a text may be cut there.
+_INSIDE = r"""A-Za-z0-9._%+@\x20()\-:="'/"""
+_PIECE = rf"(?s).{{{PIECE_CHARS}}}.*?(?:(?<=[^{_INSIDE}])|(?<=[a-z]\x20)(?=[a-z]))|.+"
+
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
@@ -142,8 +163,34 @@ def proposed(text: Column, pattern: str) -> Column:
     return F.aggregate(steps, begin, step, lambda r: r["spans"])
 
 
-def _spans(text: Column, kind: Kind) -> Column:
-    """Confirmed spans of a kind with their scores, those below the threshold left out."""
+def with_pieces(documents: DataFrame) -> DataFrame:
+    """`documents` with `_nc_pieces`: (`at`, `before`, `text`, `after`) of each piece of the text.
+
+    A piece ends where no pattern can match across, so a long text costs as much as short ones of the
+    same total length. `before` and `after` are what the context of a span may need of its neighbours.
+    """
+    parts = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(_PIECE), F.lit(0))
+    rows = with_columns_once(documents, {"_nc_parts": parts})
+    sizes = F.transform("_nc_parts", lambda p: F.char_length(p))
+    begin = F.array(F.lit(0))
+    at = F.aggregate(sizes, begin, lambda so_far, n: F.concat(so_far, F.array(F.element_at(so_far, -1) + n)))
+    rows = with_columns_once(rows, {"_nc_at": at})
+
+    def piece(text: Column, i: Column) -> Column:
+        near = F.lit(CONTEXT_CHARS)
+        return F.struct(
+            F.get("_nc_at", i).alias("at"),
+            F.coalesce(F.right(F.get("_nc_parts", i - 1), near), F.lit("")).alias("before"),
+            text.alias("text"),
+            F.coalesce(F.left(F.get("_nc_parts", i + 1), near), F.lit("")).alias("after"),
+        )
+
+    return with_columns_once(rows, {"_nc_pieces": F.transform("_nc_parts", piece)}).drop("_nc_parts", "_nc_at")
+
+
+def _spans(piece: Column, kind: Kind) -> Column:
+    """Confirmed spans of a kind in a piece with their scores, those below the threshold left out."""
+    text = piece["text"]
     nothing = F.array().cast(_SPANS)
     has_match = text.rlike(kind.pattern)
     if kind.hint:
@@ -152,8 +199,10 @@ def _spans(text: Column, kind: Kind) -> Column:
     spans = F.filter(spans, lambda s: confirmed(kind.name, s["found"]))
 
     def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(text.substr(first + 1, s["end"] - first + CONTEXT_CHARS))
+        shift = F.char_length(piece["before"])
+        first = F.greatest(s["start"] + shift - CONTEXT_CHARS, F.lit(0))
+        around = F.concat(piece["before"], text, piece["after"])
+        near = F.lower(around.substr(first + 1, s["end"] + shift - first + CONTEXT_CHARS))
         bonus = F.when(near.rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
         score = F.least(F.lit(1.0), F.lit(kind.score) + bonus)
         return F.struct(
@@ -163,10 +212,29 @@ def _spans(text: Column, kind: Kind) -> Column:
     return F.filter(F.transform(spans, scored), lambda s: s["score"] >= THRESHOLD)
 
 
+def find_in_pieces(documents: DataFrame) -> DataFrame:
+    """`documents` with `_nc_pieces` and, for each of them, the spans of every kind in `_nc_found`."""
+    found = F.transform("_nc_pieces", lambda p: F.struct(*[_spans(p, k).alias(k.name) for k in KINDS]))
+    return with_columns_once(with_pieces(documents), {"_nc_found": found})
+
+
 def find_personal_data(documents: DataFrame) -> DataFrame:
     """`documents` with one array of (`kind`, `start`, `end`, `score`) per kind, named `_nc_<kind>`."""
-    rows = with_columns_once(documents, {"_nc_text": F.coalesce(F.col("text"), F.lit(""))})
-    return with_columns_once(rows, {f"_nc_{k.name}": _spans(F.col("_nc_text"), k) for k in KINDS})
+
+    def moved(kind: str) -> Column:
+        def shifted(found: Column, piece: Column) -> Column:
+            return F.transform(
+                found[kind],
+                lambda s: F.struct(
+                    s["kind"].alias("kind"), (s["start"] + piece["at"]).alias("start"),
+                    (s["end"] + piece["at"]).alias("end"), s["score"].alias("score"),
+                ),
+            )
+
+        return F.flatten(F.zip_with("_nc_found", "_nc_pieces", shifted))
+
+    rows = with_columns_once(find_in_pieces(documents), {f"_nc_{k.name}": moved(k.name) for k in KINDS})
+    return rows.drop("_nc_found", "_nc_pieces")
 
 
 def _listed(kinds: list[str]) -> Column:
@@ -190,38 +258,39 @@ def mask(documents: DataFrame) -> DataFrame:
 
     Overlapping spans are masked as one, under the kind that begins first.
     """
-    found = find_personal_data(documents)
-    spans = F.array_sort(
-        F.transform(
-            F.flatten(F.array(*[F.col(f"_nc_{k.name}") for k in KINDS])),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
-        )
-    )
-    text = F.col("_nc_text")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(so_far: Column, s: Column) -> Column:
-        new = s["start"] >= so_far["at"]
-        clear = text.substr(so_far["at"] + 1, s["start"] - so_far["at"])
-        parts = F.concat(so_far["parts"], F.array(clear, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(
-            F.greatest(so_far["at"], s["end"]).alias("at"),
-            F.when(new, parts).otherwise(so_far["parts"]).alias("parts"),
+    found = find_in_pieces(documents)
+
+    def masked(found: Column, piece: Column) -> Column:
+        text = piece["text"]
+        spans = F.array_sort(
+            F.transform(
+                F.flatten(F.array(*[found[k.name] for k in KINDS])),
+                lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
+            )
         )
-
-    def joined(end: Column) -> Column:
-        rest = text.substr(end["at"] + 1, F.char_length(text))
-        return F.array_join(F.concat(end["parts"], F.array(rest)), "")
-
-    masked = with_columns_once(found, {"_nc_spans": spans})
-    masked = masked.withColumn(
-        "_nc_masked",
-        F.when(F.size("_nc_spans") == 0, F.col("text")).otherwise(F.aggregate("_nc_spans", begin, step, joined)),
-    )
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+        def step(so_far: Column, s: Column) -> Column:
+            new = s["start"] >= so_far["at"]
+            clear = text.substr(so_far["at"] + 1, s["start"] - so_far["at"])
+            parts = F.concat(so_far["parts"], F.array(clear, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+            return F.struct(
+                F.greatest(so_far["at"], s["end"]).alias("at"),
+                F.when(new, parts).otherwise(so_far["parts"]).alias("parts"),
+            )
+
+        def joined(end: Column) -> Column:
+            rest = text.substr(end["at"] + 1, F.char_length(text))
+            return F.array_join(F.concat(end["parts"], F.array(rest)), "")
+
+        return F.aggregate(spans, begin, step, joined)
+
+    any_span = F.exists("_nc_found", lambda f: F.greatest(*[F.size(f[k.name]) for k in KINDS]) > 0)
+    rows = with_columns_once(found, {"_nc_any": any_span})
+    text = F.array_join(F.zip_with("_nc_found", "_nc_pieces", masked), "")
+    rows = rows.withColumn("_nc_masked", F.when(F.col("_nc_any"), text).otherwise(F.col("text")))
     new = {"text": F.col("_nc_masked")}
     if "n_chars" in documents.columns:
-        same = F.size("_nc_spans") == 0
-        new["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.char_length("_nc_masked")).cast(
-            documents.schema["n_chars"].dataType
-        )
-    return masked.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
+        counted = F.when(F.col("_nc_any"), F.char_length("_nc_masked")).otherwise(F.col("n_chars"))
+        new["n_chars"] = counted.cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
