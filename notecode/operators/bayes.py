@@ -1,24 +1,21 @@
 """A naive Bayes classifier per head, trained on the weighted feed.
 
-It gives scoring a predictor without an outside model. Training is counting; in prediction chunks of
-notes meet blocks of the model in a cogroup, so no part of the model passes through the driver.
+It gives scoring a predictor without an outside model. Training is counting; prediction joins the
+tokens of the notes to the model as an inverted index, so no part of it passes through the driver.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notecode.functions.text import words
+from notecode.operators.joins import BROADCAST_ROWS, ROWS_PER_TASK, is_small, lookup_join
 from notecode.operators.once import with_columns_once
 from notecode.sources.shared_folder import stored
 
-BLOCK_ROWS = 500_000
-CHUNK_NOTES = 5_000
-CELLS = 4_000_000  # scores that are held at a time
 UNIT = float(1 << 36)  # scores are summed as whole numbers, so that no order of summing shows
 
 _TOKENS = "label string, token string, n double"
@@ -73,145 +70,109 @@ def _fixed(value: Column) -> Column:
 
 
 def _label_bases(model: NaiveBayes) -> DataFrame:
-    """(`label`, `n_rows`, `prior`, `unseen`): log prior, and log probability of a token the label lacks."""
+    """(`label`, `prior`, `unseen`): log prior, and log probability of a token the label lacks."""
     vocabulary = model.tokens.select("token").distinct().agg(F.count("*").alias("v")).scalar()
     notes = model.labels.agg(F.sum("n_notes").alias("n")).scalar()
-    totals = model.tokens.groupBy("label").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_rows"))
+    totals = model.tokens.groupBy("label").agg(F.sum("n").alias("n_tokens"))
     n_tokens = F.coalesce("n_tokens", F.lit(0.0))
     smoothing = F.lit(model.smoothing)
     return model.labels.join(totals, "label", "left").select(
         "label",
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         _fixed(F.log(F.col("n_notes") / notes)).alias("prior"),
         F.coalesce(_fixed(F.log(smoothing / (n_tokens + smoothing * vocabulary))), F.lit(0)).alias("unseen"),
     )
 
 
-def _in_blocks(model: NaiveBayes, bases: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    """(`block`, `label`, `split`, `token`, `gain`, `prior`, `unseen`) and the number of blocks.
+def envelope(lines: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """(`from_length`, `prior`, `unseen`, `label`): the label that is best at each length without any hit.
 
-    A label lies in the block of its hash. One with more than `block_rows` rows is cut by the hash of its
-    tokens (`split`); its prior lies in its first part. Rows with a prior have no token.
+    `lines` holds (`prior`, `unseen`, `label`); the base of a label at a length is a line, and the best
+    ones are the upper envelope over whole lengths. Of equal bases the first label wins.
     """
-    n_blocks = max(1, -(-model.tokens.count() // block_rows))
-    parts = F.greatest(F.ceil(F.col("n_rows") / block_rows), F.lit(1)).cast("int")
-
-    def block(part: Column) -> Column:
-        place = F.pmod(F.xxhash64("label", part), F.lit(n_blocks))
-        return F.when(F.col("parts") > 1, place + n_blocks).otherwise(place).alias("block")
-
-    split = (F.col("parts") > 1).alias("split")
-    sized = bases.withColumn("parts", parts)
-    first = sized.select(
-        block(F.lit(0)), "label", split, F.lit(None).cast("long").alias("token"),
-        F.lit(None).cast("long").alias("gain"), "prior", "unseen",
-    )
-    large = F.broadcast(sized.filter("parts > 1").select("label", "parts"))  # at most n_blocks labels
-    rows = model.tokens.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    token = F.xxhash64("token")
-    gain = _fixed(F.log((F.col("n") + model.smoothing) / F.lit(model.smoothing)))
-    none = F.lit(None).cast("long")
-    part = F.when(F.col("parts") > 1, F.pmod(token, "parts").cast("int")).otherwise(0)
-    rows = rows.select(
-        block(part), "label", split, token.alias("token"), gain.alias("gain"), none.alias("prior"), none.alias("unseen")
-    )
-    return first.union(rows), n_blocks
-
-
-def _stretches(sizes: np.ndarray, n_labels: int) -> Iterator[tuple[int, int]]:
-    """Stretches of notes whose hits and scores stay below `CELLS`, one note at least."""
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size + n_labels > CELLS:
-            yield start, i
-            start = i
-            held = 0
-        held += int(size) + n_labels
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
-def _scored(notes: pa.Table, model: pa.Table, id_type: pa.DataType) -> pa.Table:
-    """The best label of each note within a block, or the sums of each label of a block of split ones."""
-    labels = model.column("label").to_pandas().to_numpy(object)
-    names, column = np.unique(labels, return_inverse=True)
-    is_token = ~model.column("token").is_null().to_numpy()
-    split = bool(len(names)) and model.column("split")[0].as_py()
-    ids, scores, found = [], [], []
-    if len(names) and notes.num_rows:
-        base = ~is_token
-        prior, unseen = np.zeros((2, len(names)), np.int64)
-        for target, source in ((prior, "prior"), (unseen, "unseen")):
-            np.add.at(target, column[base], model.column(source).filter(pa.array(base)).to_numpy())
-        token = model.column("token").filter(pa.array(is_token)).to_numpy()
-        gain = model.column("gain").filter(pa.array(is_token)).to_numpy()
-        order = np.argsort(token, kind="stable")
-        token, gain, of_label = token[order], gain[order], column[is_token][order]
-        lists = notes.column("tokens").combine_chunks()
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten().to_numpy()
-        first, last = np.searchsorted(token, flat), np.searchsorted(token, flat, "right")
-        hits = last - first
-        ends = np.cumsum(lengths)
-        per_note = np.diff(np.concatenate([[0], np.cumsum(hits)])[np.concatenate([[0], ends])])
-        for a, b in _stretches(per_note, len(names)):
-            total = prior[None] + lengths[a:b, None] * unseen[None]
-            here = slice(int(ends[a] - lengths[a]), int(ends[b - 1]))
-            n = hits[here]
-            row = np.repeat(np.repeat(np.arange(b - a), lengths[a:b]), n)
-            place = np.repeat(first[here] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            np.add.at(total, (row, of_label[place]), gain[place])
-            if split:
-                ids.append(np.repeat(np.arange(a, b), len(names)))
-                found.append(np.tile(np.arange(len(names)), b - a))
-                scores.append(total.ravel())
-            else:
-                best = total.argmax(1)  # names are in order: the first of equal ones
-                ids.append(np.arange(a, b))
-                found.append(best)
-                scores.append(total[np.arange(b - a), best])
-    rows = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    chosen = names[np.concatenate(found)] if found else []
-    return pa.table(
-        {
-            "note_id": notes.column("note_id").take(pa.array(rows)).cast(id_type),
-            "label": pa.array(chosen, pa.string()),
-            "sum": pa.array(np.concatenate(scores) if scores else rows, pa.int64()),
-            "split": pa.array([split] * len(rows), pa.bool_()),
-        }
-    )
+    best: dict[int, tuple[int, str]] = {}
+    for prior, unseen, label in lines:
+        if unseen not in best or (-prior, label) < (-best[unseen][0], best[unseen][1]):
+            best[unseen] = (prior, label)
+    hull: list[tuple[int, int, int, str]] = []
+    for unseen, (prior, label) in sorted(best.items()):
+        first = 0
+        while hull:
+            start, top_prior, top_unseen, top_label = hull[-1]
+            ahead, steeper = top_prior - prior, unseen - top_unseen
+            first = -(-ahead // steeper) if label < top_label else ahead // steeper + 1
+            first = max(first, 0)
+            if first > start:
+                break
+            hull.pop()
+        hull.append((first if hull else 0, prior, unseen, label))
+    return hull
+
+
+def _envelope(bases: DataFrame) -> DataFrame:
+    """The envelope of all labels as one row with an array: first within each part, then of what is left."""
+    schema = "from_length long, prior long, unseen long, label string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hull: list[tuple[int, int, int, str]] = []
+        for batch in batches:
+            lines = zip(*(batch.column(c).to_pylist() for c in ("prior", "unseen", "label")))
+            hull = envelope([*(h[1:] for h in hull), *lines])
+        columns = list(zip(*hull)) if hull else [[], [], [], []]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], ["from_length", "prior", "unseen", "label"]
+        )
+
+    lines = bases.select("prior", "unseen", "label")
+    parts = lines.mapInArrow(run, schema).select("prior", "unseen", "label")
+    whole = parts.repartition(1).mapInArrow(run, schema)
+    return whole.agg(F.array_sort(F.collect_list(F.struct("from_length", "prior", "unseen", "label"))).alias("hull"))
 
 
 def predict(
-    notes: DataFrame, model: NaiveBayes, *, text: str = "note_text", block_rows: int = BLOCK_ROWS,
-    chunk_notes: int = CHUNK_NOTES,
+    notes: DataFrame, model: NaiveBayes, *, text: str = "note_text", broadcast_rows: int = BROADCAST_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """(`note_id`, `label`, `score`): the best label of each note, the first in case of a tie.
 
+    The model is an inverted index, token to (label, gain), that is joined to the notes' tokens: only
+    labels that share a token with a note are summed up, so rows grow with the hits. All others are
+    worth their base, a line in the note's length, and only the upper envelope of these lines can win.
+    A small model is broadcast and the sums are built before any shuffle; for a large one the tokens
+    are counted per note and joined by shuffle, frequent ones over several tasks.
+
     Notes with the same id are one note with the best of their scores. Tokens are compared by 64-bit
-    hashes. The sizes of blocks and chunks change the layout, never the answer. Use a saved model.
+    hashes. The limits change the layout, never the answer. Use a saved model.
     """
-    kind = notes.schema["note_id"].dataType
     tokens = F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t))
-    n_chunks = max(1, -(-notes.count() // chunk_notes))
+    row = F.monotonically_increasing_id()
+    rows = with_columns_once(notes.select("note_id", F.col(text), row.alias("row")), {"tokens": tokens}).drop(text)
+    rows = stored(rows.withColumn("length", F.size("tokens").cast("long")), "note-tokens")
     bases = stored(_label_bases(model), "label-bases")
-    rows, n_blocks = _in_blocks(model, bases, block_rows)
-    rows = stored(rows, "label-blocks")
-    blocks = [r.block for r in rows.select("block").distinct().collect()]  # numbers of blocks
-    chunk = F.pmod(F.xxhash64("note_id", text), F.lit(n_chunks)).alias("chunk")
-    chunked = with_columns_once(notes.select("note_id", chunk, F.col(text)), {"tokens": tokens}).drop(text)
-    met = chunked.withColumn("block", F.explode(F.lit(blocks).cast("array<long>")))
-    sent = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _scored(left, right, left.schema.field("note_id").type)
-
-    by_block = met.groupBy("chunk", "block").cogroup(sent.groupBy("chunk", "block"))
-    scores = by_block.applyInArrow(score, f"note_id {kind.simpleString()}, label string, sum long, split boolean")
-    whole = scores.filter("not split").select("note_id", "label", "sum")
-    of_parts = scores.filter("split").groupBy("note_id", "label").agg(F.sum("sum").alias("sum"))
+    gain = _fixed(F.log((F.col("n") + model.smoothing) / F.lit(model.smoothing)))
+    index = stored(model.tokens.select(F.xxhash64("token").alias("token"), "label", gain.alias("gain")), "postings")
+    own = ["row", "note_id", "length"]
+    single = rows.select(*own, F.explode("tokens").alias("token"))
+    small = is_small(index, broadcast_rows)
+    counted = single.withColumn("times", F.lit(1)) if small else single.groupBy(*own, "token").agg(F.count("*").alias("times"))
+    if not small:
+        counted = stored(counted, "counted-tokens")
+    hits = lookup_join(counted, index, ["token"], salt_by=["row"], small=small, rows_per_task=rows_per_task)
+    sums = hits.groupBy(*own, "label").agg(F.sum(F.col("gain") * F.col("times")).alias("gain"))
+    lines = bases.select("label", "prior", "unseen")
+    sums = lookup_join(sums, lines, ["label"], salt_by=["row"], broadcast_rows=broadcast_rows, rows_per_task=rows_per_task)
+    with_hits = sums.select(
+        "note_id", "label", (F.col("prior") + F.col("length") * F.col("unseen") + F.col("gain")).alias("sum")
+    )
+    # One row per label that can win without hits; no more than there are lengths of notes.
+    hull = stored(_envelope(bases), "label-envelope")
+    reached = F.filter("hull", lambda h: h.from_length <= F.col("length"))
+    best = rows.withColumn("hull", hull.scalar()).withColumn("line", F.try_element_at(reached, F.lit(-1)))
+    without = best.filter(F.col("line").isNotNull()).select(
+        "note_id", "line.label", (F.col("line.prior") + F.col("length") * F.col("line.unseen")).alias("sum")
+    )
     return (
-        whole.union(of_parts)
+        with_hits.union(without)
         .groupBy("note_id")
         .agg(F.min_by("label", F.struct(-F.col("sum"), "label")).alias("label"), F.max("sum").alias("sum"))
         .select("note_id", "label", (F.col("sum") / UNIT).alias("score"))

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notecode.sources.shared_folder import stored
+
 
 def rank_in_group(
     df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[str], name: str
@@ -41,3 +43,26 @@ def dense_ids(df: DataFrame, key: str, name: str = "note_id", width: int = 1_000
     """Number all rows from 0 in the order of a numeric key, `width` key values to a stretch."""
     one = df.withColumn("_all", F.lit(0))
     return rank_in_group(one, ["_all"], F.floor(F.col(key) / width), [key], name).drop("_all")
+
+
+def exact_ids(df: DataFrame, keys: Sequence[str], name: str = "note_id", first: int = 0) -> DataFrame:
+    """Number all rows from `first` in the order of keys of any type, NULL keys in front.
+
+    The rows are range-partitioned by their keys and sorted within the parts; a part starts after the
+    counted rows of the earlier ones. Rows with equal keys go by a hash of the whole row, so the ids
+    depend on the rows alone, not on files or partitions, and many equal keys do not end in one task.
+    The numbered rows are stored.
+    """
+    columns = df.columns
+    order = [*[F.col(f"`{k}`").asc_nulls_first() for k in keys], F.col("_row_hash")]
+    hashed = df.withColumn("_row_hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    sorted_rows = hashed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id that Spark gives holds the part in its upper bits and the place in the part in the lower.
+    rows = stored(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "numbered-rows")
+    part = F.shiftright("_place", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per part
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.col("_place").bitwiseAND((1 << 33) - 1)
+    numbered = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + inside + first).select(*columns, name)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notecode.operators.joins import is_small, lookup_join
-from notecode.operators.ranking import dense_ids, rank_in_group
+from notecode.operators.ranking import dense_ids, exact_ids, rank_in_group
 
 
 def facts_with_hot_key(spark):
@@ -59,3 +59,15 @@ def test_rows_without_key_are_an_error(spark):
     rows = spark.range(10).select("id", F.when(F.col("id") != 3, "a").alias("g"))
     with pytest.raises(Exception, match="has no key"):
         rank_in_group(rows, ["g"], F.floor(F.col("id") / 3), ["id"], "place").collect()
+
+
+def test_exact_ids_do_not_follow_the_layout(spark):
+    rows = [("b", 2.5, 1), (None, 1.0, 2), ("a", None, 3), ("a", 0.5, 4), ("b", 2.5, 5), ("b", 2.5, 5)] + [("c", 1.0, k) for k in range(300)]
+    given = spark.createDataFrame(rows, "k string, x double, n int")
+    numbered = [sorted(map(tuple, exact_ids(df, ["k", "x"], first=10).collect()), key=str) for df in (given, given.repartition(7), given.coalesce(1))]
+    assert numbered[0] == numbered[1] == numbered[2]
+    ids = {r[3]: r[:3] for r in numbered[0]}
+    assert sorted(ids) == list(range(10, 10 + len(rows)))
+    keys = [((k is not None, k or ""), (x is not None, x or 0.0)) for k, x, _ in (ids[i] for i in sorted(ids))]
+    assert keys == sorted(keys)
+    assert exact_ids(given.limit(0), ["k"]).count() == 0

@@ -1,5 +1,10 @@
+import math
+import random
+
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,11 +207,18 @@ def test_pooling(spark):
         return {r.k: r.pooled for r in scoring.pool_vectors(rows, key="k", vector="v", row_key="i", **options).collect()}
 
     assert pooled(logit=F.col("l")) == {"g": pytest.approx([0.5, 1.0]), "h": pytest.approx([5.0, 5.0])}
+    # Logits far apart, a missing one and a missing vector; 64 is where one stretch ends.
+    logits = F.when(F.col("i") == 2, 699.0).when(F.col("i") == 1, 704.5).otherwise(F.lit(None))
+    share = 1 / (1 + math.exp(-5.5))
+    assert pooled(logit=logits) == {"g": pytest.approx([share, 2 * (1 - share)])}
+    assert pooled(logit=F.when(F.col("i") == 1, -1e6).otherwise(1e6))["g"] == pytest.approx([0.0, 2.0])
+    plan = scoring.pool_vectors(rows, key="k", vector="v", logit=F.col("l"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
     assert pooled(mode="mean")["g"] == pytest.approx([0.5, 1.0])
     assert pooled(mode="max")["g"] == [1.0, 2.0]
 
 
-def test_bayes_in_blocks_and_chunks(spark):
+def test_bayes_by_broadcast_and_by_shuffle(spark):
     words = [("a", "x y z"), ("a", "x x"), ("b", "y y w"), ("c", "q"), ("c", "q z"), ("d", "")]
     feed_rows = spark.createDataFrame([(l, t, 1.0) for l, t in words], "label string, note_text string, w double")
     path = new_path(spark, "bayes-test")
@@ -219,14 +231,62 @@ def test_bayes_in_blocks_and_chunks(spark):
 
     whole = predicted()
     assert {i: label for i, (label, _) in whole.items()} == {1: "a", 2: "c", 3: "b", 4: "a", 5: "a"}
-    assert predicted(block_rows=3) == whole
-    assert predicted(block_rows=2) == whole
-    assert predicted(block_rows=1, chunk_notes=2) == whole
+    assert predicted(broadcast_rows=3) == whole
+    assert predicted(broadcast_rows=0) == whole
+    assert predicted(broadcast_rows=0, rows_per_task=1) == whole
+    assert bayes.predict(notes, bayes.NaiveBayes(model.tokens.limit(0), model.labels.limit(0))).count() == 0
     arrays = feed_rows.withColumn("label", F.array("label"))
     counted = bayes.fit(arrays, label="label", weight="w")
     assert sorted(map(tuple, counted.tokens.collect())) == sorted(map(tuple, model.tokens.collect()))
 
 
+def test_bayes_with_many_labels(spark):
+    draw = random.Random(6)
+    labels = {f"L{k:05d}": {f"t{draw.randrange(3000)}": float(draw.randint(1, 4)) for _ in range(4)} for k in range(40_000)}
+    tokens = [(label, t, n) for label, counts in labels.items() for t, n in counts.items()]
+    notes_of = {label: float(draw.randint(1, 3)) for label in labels}
+    model = bayes.NaiveBayes(
+        spark.createDataFrame(pd.DataFrame(tokens, columns=["label", "token", "n"])),
+        spark.createDataFrame(pd.DataFrame(list(notes_of.items()), columns=["label", "n_notes"])),
+    )
+    texts = [" ".join(f"t{draw.randrange(3100)}" for _ in range(draw.randint(0, 12))) for _ in range(25)]
+    notes = spark.createDataFrame(list(enumerate(texts)), "note_id int, note_text string")
+    unit, vocabulary, all_notes = float(1 << 36), len({t for _, t, _ in tokens}), sum(notes_of.values())
+
+    def fixed(x):
+        return round(x * unit)
+
+    def best(text):
+        found = None
+        for label, counts in labels.items():
+            unseen = fixed(math.log(1 / (sum(counts.values()) + vocabulary)))
+            total = fixed(math.log(notes_of[label] / all_notes)) + len(text.split()) * unseen
+            total += sum(fixed(math.log(counts[t] + 1)) for t in text.split() if t in counts)
+            if found is None or total > found[1]:
+                found = (label, total)
+        return found
+
+    expected = {k: best(text) for k, text in enumerate(texts)}
+    for options in ({}, {"broadcast_rows": 1000}):
+        rows = bayes.predict(notes, model, **options).collect()
+        assert {r.note_id: r.label for r in rows} == {k: label for k, (label, _) in expected.items()}
+        assert all(r.score * unit == pytest.approx(expected[r.note_id][1], abs=100) for r in rows)
+
+
+@given(st.lists(st.tuples(st.integers(-40, 0), st.integers(-9, 0), st.sampled_from("abcdefgh")), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_envelope_holds_the_best_line_of_each_length(lines):
+    hull = bayes.envelope(lines)
+    for length in range(60):
+        best = min(((-(p + u * length), name) for p, u, name in lines), default=None)
+        reached = [h for h in hull if h[0] <= length]
+        assert (best is None) == (not reached)
+        if best:
+            _, prior, unseen, name = reached[-1]
+            assert (-(prior + unseen * length), name) == best
+    assert bayes.envelope([*(h[1:] for h in bayes.envelope(lines[:5])), *lines[5:]]) == hull
+
+
 def test_synonym_files_and_scored_sink(spark):
     rows = [("A00", "Choléra"), ("A00", "Cholera, classical"), ("B01", "Varicella")]
     synonyms = spark.createDataFrame(rows, "code string, libelle string")
