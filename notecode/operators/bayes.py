@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notecode.functions.text import words
-from notecode.operators.joins import BROADCAST_ROWS, ROWS_PER_TASK, is_small, lookup_join
+from notecode.operators.joins import ROWS_PER_TASK, is_small, lookup_join
 from notecode.operators.once import with_columns_once
 from notecode.sources.shared_folder import stored
 
+INDEX_ROWS = 1_000_000  # rows of a hash, a label and a number: some 100 MB as a broadcast
 UNIT = float(1 << 36)  # scores are summed as whole numbers, so that no order of summing shows
 
 _TOKENS = "label string, token string, n double"
@@ -130,7 +131,7 @@ def _envelope(bases: DataFrame) -> DataFrame:
 
 
 def predict(
-    notes: DataFrame, model: NaiveBayes, *, text: str = "note_text", broadcast_rows: int = BROADCAST_ROWS,
+    notes: DataFrame, model: NaiveBayes, *, text: str = "note_text", broadcast_rows: int = INDEX_ROWS,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """(`note_id`, `label`, `score`): the best label of each note, the first in case of a tie.

@@ -172,6 +172,25 @@ VIEWS = {
           case when p.used > 0 and p.used + c.n_words > 12000 then p.sub_batch + 1 else p.sub_batch end,
           case when p.used > 0 and p.used + c.n_words > 12000 then c.n_words else p.used + c.n_words end
         from placed p join counted c on c.stream = p.stream and c.batch = p.batch and c.position = p.position + 1""",
+    "feed_notes": """
+        select 'real' as stream, 32 as size, doc_id as note_id, text as note_text, 'documents.parquet' as fragment from documents
+        union all select 'real', 32, -1 - page_id, html, 'pages.parquet' from pages
+        union all select 'syn', 128, item_id, text, 'benchmark.parquet' from benchmark""",
+    "feed_places": """
+        select *, row_number() over (partition by stream
+          order by md5(concat('42:0:', fragment)), fragment, md5(concat('42:0:', note_id)), note_id) - 1 as position
+        from feed_notes""",
+    "feed_counted": """
+        select stream, fragment, note_id, position, position // size as batch, position % size as place,
+          len(list_filter(regexp_split_to_array(coalesce(note_text, ''), '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '')) as n_words
+        from feed_places""",
+    "feed_placed": """
+        select *, 0::bigint as sub_batch, n_words as used from feed_counted where place = 0
+        union all
+        select c.*,
+          case when p.used > 0 and p.used + c.n_words > 12000 then p.sub_batch + 1 else p.sub_batch end,
+          case when p.used > 0 and p.used + c.n_words > 12000 then c.n_words else p.used + c.n_words end
+        from feed_placed p join feed_counted c on c.stream = p.stream and c.batch = p.batch and c.place = p.place + 1""",
     "doc_words": """
         select note_id, lang, split, list_filter(regexp_split_to_array(note_text, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> '') as words
         from docs""",
@@ -354,6 +373,11 @@ BODIES = {
         select note_id, split as stream, source as fragment, row_number() over (partition by split
           order by md5(concat('42:0:', source)), source, md5(concat('42:0:', note_id)), note_id) - 1 as position
         from docs""",
+    "published_notes": "select note_id, dp, mdp, case when note_id % 5 = 0 then 'test' else 'train' end as split from notes_clean",
+    "feed_from_files": "select stream, fragment, note_id, position, batch, n_words, sub_batch from feed_placed",
+    "exact_note_ids": """
+        select l_orderkey, l_linenumber, row_number() over (
+          order by l_shipdate nulls first, l_orderkey nulls first, l_linenumber nulls first) + 99 as line_id from lineitem""",
     "mix_head_weights": """
         select note_id, 'real' as stream, cast(2.0 as double) as dp_weight, cast(0.5 as double) as das_weight,
           cast(1.0 as double) as mdp_weight from notes_clean

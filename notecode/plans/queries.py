@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notecode.functions.text import first_word, truncate_code, word_count
-from notecode.operators import bayes, cleaning, feed, labels, leakage, metrics, patients, scoring, synthesis
+from notecode.operators import bayes, cleaning, feed, heads, labels, leakage, metrics, patients, scoring, synthesis
 from notecode.operators.joins import keep_listed
-from notecode.operators.ranking import dense_ids, rank_in_group
+from notecode.operators.ranking import dense_ids, exact_ids, rank_in_group
 from notecode.plans.fixtures import Fixtures
 from notecode.sources import tables
+from notecode.sources.catalog import Catalog
 from notecode.sources.shared_folder import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,16 @@ def dataset_sink_roundtrip(fx: Fixtures) -> DataFrame:
     return tables.read_notes(fx.spark, path).withColumn("das", joined("das"))
 
 
+@query
+def published_notes(fx: Fixtures) -> DataFrame:
+    """Two versions of the notes in a catalog; readers get the last one."""
+    catalog = Catalog(fx.spark, new_path(fx.spark, "catalog"))
+    notes = fx.notes().select("note_id", "dp", "mdp", "split")
+    catalog.publish(notes.filter(F.col("split") == "test"), "notes")
+    catalog.publish(notes, "notes")
+    return catalog.read("notes")
+
+
 @query
 def label_space_ref(fx: Fixtures) -> DataFrame:
     path = new_path(fx.spark, "labels")
@@ -385,6 +396,38 @@ def assign_sub_batches(fx: Fixtures) -> DataFrame:
     return feed.assign_sub_batches(feed.assign_batches(_shuffled(fx, ["note_id", "n_words"])))
 
 
+@query
+def feed_from_files(fx: Fixtures) -> DataFrame:
+    """The whole feed, with the files of the tables as fragments, written and read again."""
+
+    def notes(table: str, key: Column, text: str, label: Column) -> DataFrame:
+        rows = tables.with_fragment(fx.table(table))
+        return rows.select(key.alias("note_id"), F.col(text).alias("note_text"), label.alias("dp"), "fragment")
+
+    none = F.lit(None).cast("string")
+    real = notes("documents", F.col("doc_id"), "text", F.col("lang"))
+    real = real.unionByName(notes("pages", -1 - F.col("page_id"), "html", none))
+    synthetic = notes("benchmark", F.col("item_id"), "text", none)
+    mixed = feed.mix_streams(
+        {
+            "real": feed.Stream(real, ("dp",)),
+            "syn": feed.Stream(synthetic, ("dp",), pipe="synthetic", scale=feed.SYNTHETIC_SCALE),
+        },
+        keep=["fragment"],
+    )
+    path = new_path(fx.spark, "feed")
+    feed.write_feed(feed.place_in_feed(mixed, seed=SEED), path)
+    shown = ["stream", "fragment", "note_id", "position", "batch", "n_words", "sub_batch"]
+    return longs(fx.spark.read.parquet(path).select(*shown))
+
+
+@query
+def exact_note_ids(fx: Fixtures) -> DataFrame:
+    lines = fx.table("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    numbered = exact_ids(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], "line_id", first=100)
+    return longs(numbered.select("l_orderkey", "l_linenumber", "line_id"))
+
+
 # Scoring
 
 
@@ -467,6 +510,23 @@ def nb_predict(fx: Fixtures) -> DataFrame:
     return rounded(bayes.predict(test, bayes.load(fx.spark, path)))
 
 
+@query
+def train_heads(fx: Fixtures) -> DataFrame:
+    """Heads trained on the mixed feed, held against notes that were left out of it."""
+    mixed = _mixed(fx)
+    held_out = (F.col("pipe") == "synthetic") & (F.col("note_id") % 5 == 0)
+    model = heads.fit(mixed.filter(~held_out), ["dp", "das"], rounds=6)
+    key = F.concat_ws(":", "stream", F.col("note_id").cast("string"))
+    test = stored(mixed.filter(held_out).select(key.alias("note_id"), "note_text", "dp", "das"), "held-out")
+    scores = stored(heads.probabilities(test, model), "head-scores")
+    dp = scoring.select_single_label(scores.filter("head = 'dp'")).select("note_id", F.col("label").alias("dp"))
+    das = scoring.select_multi_label(scores.filter("head = 'das'")).select("note_id", F.col("labels").alias("das"))
+    gold = test.select("note_id", F.col("dp").alias("dp_gold"), F.col("das").alias("das_gold"))
+    aligned = metrics.align_predictions(metrics.align_predictions(gold, dp), das)
+    counts = metrics.head_counts(aligned, {h: (f"{h}_gold", h) for h in ("dp", "das")})
+    return rounded(metrics.report(counts, ["head"]))
+
+
 # Evaluation
 
 

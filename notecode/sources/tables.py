@@ -66,6 +66,17 @@ def read_notes(spark: SparkSession, path: str, schema: T.StructType = schemas.NO
     return spark.read.schema(schema).parquet(path)
 
 
+def with_fragment(notes: DataFrame) -> DataFrame:
+    """Notes just read from files, with the name of the file of each in `fragment`."""
+    return notes.select("*", F.col("_metadata.file_name").alias("fragment"))
+
+
+def next_id(spark: SparkSession, paths: Sequence[str]) -> int:
+    """The first note id after those of the data sets, so that ids of several sets never collide."""
+    found = [spark.read.parquet(path).agg(F.max("note_id")).first()[0] for path in paths]
+    return max([i + 1 for i in found if i is not None], default=0)
+
+
 def note_id(source: str, *key: Column) -> Column:
     """A 64-bit id fixed by the source name and the natural key; equal keys share it.
 
