@@ -37,7 +37,7 @@ from notecode.sources.shared_folder import discard, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 BLOCK_ROWS = 2048
-LEAF_POINTS = 24
+LEAF_POINTS = 64
 MOST_COMPONENT = 1 << 26
 
 
@@ -70,22 +70,24 @@ class Tree:
 
 def anchors(points: np.ndarray, n_anchors: int) -> list[np.ndarray]:
     """The points' numbers by anchor, in an anchors hierarchy of up to `n_anchors` of them."""
-    pivots = [points[0]]
+    pivots = np.zeros((n_anchors, points.shape[1]))
+    pivots[0] = points[0]
     distance = np.sqrt(((points - points[0]) ** 2).sum(1))
     order = np.argsort(-distance, kind="stable")
     owned, far = [order], [distance[order]]
-    while len(pivots) < n_anchors:
-        widest = int(np.argmax([d[0] for d in far]))
-        if far[widest][0] == 0:
+    reach = np.zeros(n_anchors)  # how far the farthest point of each anchor is
+    reach[0] = distance[order[0]]
+    while len(owned) < n_anchors:
+        n = len(owned)
+        widest = int(np.argmax(reach[:n]))
+        if reach[widest] == 0:
             break
         pivot = points[owned[widest][0]]
+        half = np.sqrt(((pivots[:n] - pivot) ** 2).sum(1)) / 2
         taken, taken_far = [], []
-        for k in range(len(pivots)):
-            between = np.sqrt(((pivots[k] - pivot) ** 2).sum())
+        for k in np.flatnonzero(reach[:n] >= half).tolist():
             # Sorted from far to near: what follows is nearer to its anchor than half way.
-            some = int(np.searchsorted(-far[k], -between / 2, side="right"))
-            if not some:
-                continue
+            some = int(np.searchsorted(-far[k], -half[k], side="right"))
             new = np.sqrt(((points[owned[k][:some]] - pivot) ** 2).sum(1))
             moves = new < far[k][:some]
             if moves.any():
@@ -93,9 +95,10 @@ def anchors(points: np.ndarray, n_anchors: int) -> list[np.ndarray]:
                 taken_far.append(new[moves])
                 stay = np.concatenate([~moves, np.ones(len(far[k]) - some, bool)])
                 owned[k], far[k] = owned[k][stay], far[k][stay]
+                reach[k] = far[k][0] if len(far[k]) else 0
         mine, mine_far = np.concatenate(taken), np.concatenate(taken_far)
         order = np.argsort(-mine_far, kind="stable")
-        pivots.append(pivot)
+        pivots[n], reach[n] = pivot, mine_far[order[0]]
         owned.append(mine[order])
         far.append(mine_far[order])
     return [numbers for numbers in owned if len(numbers)]
