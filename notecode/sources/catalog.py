@@ -14,6 +14,10 @@ _MANIFESTS = "_manifests"
 MOST_TRIES = 100
 
 
+class Outdated(RuntimeError):
+    """Someone else has published a version in between."""
+
+
 class Catalog:
     """The data sets below one folder."""
 
@@ -29,8 +33,13 @@ class Catalog:
     def _manifest(self, name: str, number: int):
         return self._path(name, _MANIFESTS, f"{number:012d}.json")
 
-    def publish(self, rows: DataFrame, name: str, partitions: int | None = None) -> int:
-        """Write a new version of a data set and make it the current one; returns its number."""
+    def publish(
+        self, rows: DataFrame, name: str, partitions: int | None = None, after: int | None = None
+    ) -> int:
+        """Write a new version of a data set and make it the current one; returns its number.
+
+        With `after`, the version must follow that one, else `Outdated` is raised and nothing appears.
+        """
         folder = f"data-{uuid.uuid4().hex}"
         rows = rows.repartition(partitions) if partitions else rows
         rows.write.parquet("/".join((self.root, name, folder)))
@@ -39,10 +48,15 @@ class Catalog:
         out = files.create(draft, False)
         out.write(bytearray(entry.encode()))
         out.close()
-        for number in range(max(self.versions(name), default=0) + 1, 1 << 40)[:MOST_TRIES]:
+        last = max(self.versions(name), default=0)
+        tries = range(last + 1, last + 1 + MOST_TRIES) if after is None else [after + 1]
+        for number in tries if after in (None, last) else []:
             target = self._manifest(name, number)
             if not files.exists(target) and files.rename(draft, target):
                 return number
+        if after is not None:
+            files.delete(draft, False)
+            raise Outdated(f"{name!r} has got a version after {after}")
         raise RuntimeError(f"no free version of {name!r} was found")
 
     def _entry(self, path) -> dict | None:
