@@ -2,6 +2,7 @@
 
 import re
 
+from notecode.functions.text import MISSING_TOKENS
 from notecode.plans.queries import SEED
 
 
@@ -10,6 +11,7 @@ def _number(text: str) -> str:
     return f"('0x' || left(md5({text}), 8))::bigint"
 
 
+_MISSING = ", ".join(f"'{token}'" for token in MISSING_TOKENS)
 _STEP = f"{_number(f"concat('{SEED}:code:', doc_no, ':', j)")} % (j + 1)"
 
 # Views in the order they build on each other; a query names the ones it needs.
@@ -91,6 +93,12 @@ VIEWS = {
         select 'dp' as head, dp as label, split from notes_clean
         union all select 'mdp', mdp, split from notes_clean
         union all select 'das', das, split from notes_das""",
+    "labels_before": """
+        select a.head, a.label from (
+          select 'dp' as head, dp as label, note_id from notes_clean
+          union all select 'mdp', mdp, note_id from notes_clean
+          union all select 'das', das, note_id from notes_das) a
+        where a.note_id % 4 = 1 or (a.note_id % 2 = 0 and a.note_id in (select note_id from notes_train))""",
     "synonyms": """
         select p_partkey as ordinal, code, concat(p_name, ' ', p_type, ' ', cast(p_partkey as varchar)) as libelle
         from part_codes""",
@@ -282,6 +290,10 @@ BODIES = {
         from raw_texts where note_id % 41 <> 0
         union all select note_id, null, annot_diagnostics_v2,
           case when note_id % 37 <> 0 then concat('w', note_id % 9) end from raw_texts where note_id % 41 = 0""",
+    "split_csv_scan": f"""
+        select doc_id, case when lang not in ({_MISSING}) then lang end as lang,
+          case when text not in ({_MISSING}) then length(text) end as n_chars,
+          case when text not in ({_MISSING}) then sha256(text) end as text_sha256 from documents""",
     "referential_scan": """
         select ordinal, code, concat('Label; ', code) as definition,
           case when ordinal % 11 <> 0 then cast(mco_had as double) end as mco_had
@@ -357,6 +369,20 @@ BODIES = {
     "class_weights": """
         select head, label, n, round(sum(n) over (partition by head) / (count(*) over (partition by head) * n), 6) as weight
         from (select head, label, count(*) as n from labels_train group by all) f""",
+    "label_statistics_kept": """
+        select head, label, n, round(sum(n) over (partition by head) / (count(*) over (partition by head) * n), 6) as weight
+        from (select head, label, count(*) as n from (
+                select head, label from labels_train union all select 'dp', dp from syn) u group by all) f""",
+    "label_statistics_changes": """
+        select head, label, coalesce(b.n, 0) as n_before, coalesce(a.n, 0) as n_after
+        from (select head, label, count(*) as n from labels_before group by all) b
+        full join (select head, label, count(*) as n from labels_train group by all) a using (head, label)
+        where coalesce(b.n, 0) <> coalesce(a.n, 0)""",
+    "label_ids_extended": """
+        select head, label, label_id from train_ids
+        union all select 'dp', dp, row_number() over (order by dp) - 1
+          + (select count(*) from train_ids where head = 'dp')
+        from (select distinct dp from syn where dp not in (select label from train_ids where head = 'dp')) s""",
     "prefix_leakage": "select note_id, leaked from leaks",
     "prefix_leakage_summary": "select leaked, count(*) as n from leaks group by leaked",
     "synonym_scan": "select code, libelle from synonyms",
@@ -389,6 +415,9 @@ BODIES = {
     "score_notes": """
         select note_id, lang as dp_gold, case when contains(note_text, ' que ') then 'fr'
           when contains(note_text, ' und ') then 'de' else 'en' end as dp from docs""",
+    "score_by_length": """
+        select note_id, case when contains(note_text, ' que ') then 'fr' when contains(note_text, ' und ') then 'de'
+          else 'en' end as dp, length(note_text) as n_chars from docs""",
     "select_single_label": """
         select note_id, head, label, round(score, 6) as score from (
           select *, row_number() over (partition by note_id, head order by score desc, label) as rn from head_scores) r

@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 
 from notecode.functions.text import first_word, truncate_code, word_count
 from notecode.operators import bayes, cleaning, feed, heads, labels, leakage, metrics, patients, scoring, synthesis
+from notecode.operators.label_statistics import LabelStatistics, extend_numbering
 from notecode.operators.joins import keep_listed
 from notecode.operators.ranking import dense_ids, exact_ids, rank_in_group
 from notecode.plans.fixtures import Fixtures
 from notecode.sources import tables
 from notecode.sources.catalog import Catalog
 from notecode.sources.shared_folder import new_path, stored
+from notecode.sources.split_csv import read_split_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +61,22 @@ def notes_csv_scan(fx: Fixtures) -> DataFrame:
     return notes.withColumn("note_id", F.col("note_id").cast("long"))
 
 
+@query
+def split_csv_scan(fx: Fixtures) -> DataFrame:
+    """Whole texts with quotes and line breaks through CSV files that are read by blocks."""
+    path = new_path(fx.spark, "documents-csv")
+    documents = fx.table("documents").select("doc_id", "text", "lang")
+    options = {"header": True, "escape": '"', "quoteAll": True}
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    documents.write.options(**options, **blanks).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in documents.columns])
+    rows = read_split_csv(fx.spark, path, schema)
+    return rows.select(
+        F.col("doc_id").cast("long"), "lang", F.length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def _numbered_referential(fx: Fixtures) -> DataFrame:
     codes = fx.referential.withColumn("_all", F.lit(0))
     ranked = rank_in_group(codes, ["_all"], F.left("code", F.lit(3)), ["code"], "ordinal")
@@ -290,6 +308,41 @@ def class_weights(fx: Fixtures) -> DataFrame:
     return rounded(labels.class_weights(frequency))
 
 
+def _kept_statistics(fx: Fixtures) -> tuple[LabelStatistics, int]:
+    """Counts of the sets put in batches, of which one is wrong at first and one set is withdrawn."""
+    notes = stored(fx.notes(), "notes")
+    train = cleaning.drop_denied(notes.filter(F.col("split") == "train"))
+    kept = LabelStatistics(Catalog(fx.spark, new_path(fx.spark, "catalog")))
+    kept.put("train", train.filter("note_id % 2 = 0"), "even")
+    wrong = kept.put("train", notes.filter("note_id % 4 = 1"), "odd")
+    kept.put("other", patients.patient_notes(fx.patients(), "coding"), heads=["dp"])
+    kept.put("syn", synthesis.single_code_notes(fx.synonyms(), fx.codes("dp")), heads=["dp"])
+    kept.put("train", train.filter("note_id % 2 = 1"), "odd")
+    kept.compact()
+    kept.withdraw("other")
+    return kept, wrong
+
+
+@query
+def label_statistics_kept(fx: Fixtures) -> DataFrame:
+    kept, _ = _kept_statistics(fx)
+    return rounded(kept.weights(["train", "syn", "other"]))
+
+
+@query
+def label_statistics_changes(fx: Fixtures) -> DataFrame:
+    kept, wrong = _kept_statistics(fx)
+    return kept.changes(["train"], wrong)
+
+
+@query
+def label_ids_extended(fx: Fixtures) -> DataFrame:
+    """Labels of the synthetic notes behind those of the training notes, whose ids stay."""
+    space = stored(labels.number_labels(labels.distinct_labels(_train(fx))), "label-space")
+    synthetic = synthesis.single_code_notes(fx.synonyms(), fx.codes("dp"))
+    return longs(extend_numbering(space, stored(labels.distinct_labels(synthetic, ["dp"]), "synthetic-labels")))
+
+
 # Leakage
 
 
@@ -453,6 +506,23 @@ def score_notes(fx: Fixtures) -> DataFrame:
     return fx.spark.read.parquet(path).select("note_id", "dp_gold", "dp")
 
 
+def _language_and_length() -> scoring.Predictor:
+    guess = _guess_language()
+
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return guess(texts).assign(n_chars=texts.str.len())
+
+    return predict
+
+
+@query
+def score_by_length(fx: Fixtures) -> DataFrame:
+    """Texts handed to the predictor in batches of like length."""
+    heads = {"dp": T.StringType(), "n_chars": T.LongType()}
+    scored = scoring.score_notes(fx.documents(), _language_and_length, heads, by_length=True)
+    return scored.select("note_id", "dp", "n_chars")
+
+
 @query
 def select_single_label(fx: Fixtures) -> DataFrame:
     return rounded(scoring.select_single_label(fx.head_scores()))
