@@ -85,16 +85,15 @@ class LabelStatistics:
 
     def counts(self, version: int | None = None) -> DataFrame:
         """(`source`, `batch`, `head`, `label`, `n`) as of a version, by default the last."""
-        index = self._index(self.version() if version is None else version)
-        paths = sorted({self._path(folder) for _, _, folder in index})
+        version = self.version() if version is None else version
+        paths = sorted({self._path(folder) for _, _, folder in self._index(version)})
         if not paths:
             return self.spark.createDataFrame([], _COUNTS)
         read = self.spark.read.schema(_COUNTS).parquet(*paths)
         # A compacted folder also holds batches that were replaced or withdrawn afterwards.
-        held = self.spark.createDataFrame([(s, b, self._path(f)) for s, b, f in index], _INDEX)
-        folder = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1)
-        held = held.withColumn("folder", F.regexp_extract("folder", "([^/]+)$", 1))
-        return read.withColumn("folder", folder).join(held, ["source", "batch", "folder"], "left_semi").drop("folder")
+        folder = F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)
+        listed = read.withColumn("folder", folder)
+        return listed.join(self.catalog.read(self.name, version), ["source", "batch", "folder"], "left_semi").drop("folder")
 
     def frequency(self, sources: Sequence[str], version: int | None = None) -> DataFrame:
         """(`head`, `label`, `n`) over sources, as `labels.label_frequency` over all their notes."""
