@@ -21,10 +21,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The table written to a new path and read from there, so that it is computed only once."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The table written to a new path and read from there, so that it is computed only once.
+
+    `options` go to the Parquet writer, such as a `compression` that takes less room for long texts.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table

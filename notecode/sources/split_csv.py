@@ -115,7 +115,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         in_order("_place", "_line").alias("record"), F.max_by(behind, "_place").alias("_open"),
         F.first("_owner").alias("_owner"),
     )
-    parts = stored(parts, "csv-records")
+    parts = stored(parts, "csv-records", compression="zstd")
     is_header = ((F.col("_block") == 0) & (F.col("_number") == 1)).alias("is_header")
     crosses = (F.col("_number") == 0) | F.col("_open")
     begun = F.when(F.col("_number") == 0, F.col("_owner")).otherwise(F.col("_block"))
