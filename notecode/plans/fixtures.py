@@ -111,6 +111,12 @@ class Fixtures:
         )
         return with_columns_once(items, {"annot_diagnostics_v2": text}).drop("items")
 
+    def python_notations(self) -> DataFrame:
+        """`annotation_texts` with more details per code, in notations that JSON lacks."""
+        detail = r"""'label': 'l\'examen "x" \\', "sure": True, 'rank': None, 'tags': [1, 'n\t'], 'position': """
+        text = F.replace(F.col("annot_diagnostics_v2"), F.lit("'position': "), F.lit(detail))
+        return self.annotation_texts().withColumn("annot_diagnostics_v2", text)
+
     def raw_notes(self) -> DataFrame:
         """Raw annotated notes; some lack the text or a further column."""
         note_id = F.col("note_id")

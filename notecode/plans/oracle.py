@@ -317,6 +317,11 @@ BODIES = {
         select code, granularity, {_cut('code')} as cut
         from ref_codes, (values (0::bigint), (3), (-1), (-2)) g(granularity)""",
     "parse_annotations": "select note_id, dp, dr, das from text_parsed",
+    "parse_python_notations": "select note_id, dp, dr, das from text_parsed",
+    "annotation_routes": """
+        select case when note_id % 50 in (0, 1) then 'tokens' when note_id % 50 in (2, 3) then 'python'
+            when note_id % 50 = 4 then 'missing' else 'json' end as route, count(*) as n
+        from raw_texts group by 1""",
     "filter_das_codes": """
         select p.note_id, coalesce(das, '') as das
         from notes_parsed p left join das_valid d on p.note_id = d.note_id""",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notecode.functions.annotations import annotation_routes as count_routes
 from notecode.functions.text import first_word, truncate_code, word_count
 from notecode.operators import bayes, cleaning, feed, heads, labels, leakage, metrics, patients, scoring, synthesis
 from notecode.operators.label_statistics import LabelStatistics, extend_numbering
@@ -189,6 +190,17 @@ def parse_annotations(fx: Fixtures) -> DataFrame:
     return parsed.select("note_id", "dp", "dr", F.array_join(F.array_sort("das"), "|").alias("das"))
 
 
+@query
+def parse_python_notations(fx: Fixtures) -> DataFrame:
+    parsed = cleaning.parse_annotations(fx.python_notations(), "annot_diagnostics_v2")
+    return parsed.select("note_id", "dp", "dr", F.array_join(F.array_sort("das"), "|").alias("das"))
+
+
+@query
+def annotation_routes(fx: Fixtures) -> DataFrame:
+    return count_routes(fx.annotation_texts(), "annot_diagnostics_v2")
+
+
 @query
 def filter_das_codes(fx: Fixtures) -> DataFrame:
     notes = fx.parsed_notes().select("note_id", F.array_sort("das").alias("das"))

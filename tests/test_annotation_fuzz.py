@@ -2,7 +2,7 @@
 
 import random
 
-from notecode.functions.annotations import fold_python_dict, parse_annotations
+from notecode.functions.annotations import annotation_routes, fold_python_dict, parse_annotations
 
 VALUES = [
     "1", "-1", "01", "1.", "-.5", "1e5", "None", "True", "null", "true", "NaN", "+1", "1_000", "0x1F", "'a' 'b'",
@@ -62,3 +62,44 @@ def test_an_indented_cell_is_no_dict(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "n int, cell string")
     expected = {i: (fold_python_dict(c) or {}).get("dp") for i, c in enumerate(cells)}
     assert {r.n: r.dp for r in parse_annotations(rows, "cell").collect()} == expected
+
+
+def test_python_notations_stay_in_the_jvm(spark):
+    rng = random.Random(3)
+    plain = ["None", "True", "False", "-1", "0.5", "1e5", "[]", "{}", "[1, 'a',]", "{'x': {'y': None,},}"]
+    letters = ["a", "é", "😀", " ", "\t", '"', "'", "\\", "\n", "None", "true", "{", "}", "]", ",", ":", "#", "\\u0041"]
+
+    def text():
+        return repr("".join(rng.choice(letters) for _ in range(rng.randint(0, 6))))
+
+    def one():
+        items = []
+        for _ in range(rng.randint(0, 5)):
+            more = [f"{text()}: {rng.choice([*plain, text()])}" for _ in range(rng.randint(0, 2))]
+            more.append("'position': " + rng.choice(["'DP'", "'DR'", "'DAS'", "None"]))
+            rng.shuffle(more)
+            items.append(f"{rng.choice(['\'A\'', '\'B\'', text()])}: {{{', '.join(more)}{rng.choice(['', ','])}}}")
+        return "{" + ", ".join(items) + "}"
+
+    cells = [one() for _ in range(3000)] + [None]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, cell string")
+    for row in parse_annotations(df, "cell").collect():
+        expected = fold_python_dict(cells[row.i]) or {"dp": None, "dr": None, "das": []}
+        assert {"dp": row.dp, "dr": row.dr, "das": row.das} == expected, cells[row.i]
+    routes = {r.route: r.n for r in annotation_routes(df, "cell").collect()}
+    assert routes["missing"] == 1 and routes["tokens"] > 1500
+    # Two equal details of one code are all that is left.
+    assert routes.get("python", 0) < 150
+
+
+def test_commas_quotes_and_repeats(spark):
+    cells = [
+        "{,}", "{'A': [,]}", "{'A': {'position': 'DP'},,}", "{'A': {'position': 'DP'}},", "''", "'''", "{'A", "\\",
+        "{'A': {'position': 'DP'}, 'B': {'position': 'DAS'}, 'A': {'position': 'DAS'}, 'B': {'position': 'DP'}}",
+        "{" + "'A': {'position': 'DAS'}, 'B': {'position': 'DAS'}, " * 5000 + "}",
+        "{'" + "x\\'" * 20000 + "': {'position': 'DP'}}",
+    ]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, cell string")
+    for row in parse_annotations(df, "cell").collect():
+        assert {"dp": row.dp, "dr": row.dr, "das": row.das} == fold_python_dict(cells[row.i]), cells[row.i][:80]
+    assert {r.route for r in annotation_routes(df.filter("i >= 8"), "cell").collect()} <= {"json", "tokens"}
