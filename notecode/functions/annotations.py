@@ -86,14 +86,15 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _token_as_json(token: Column) -> Column:
-    # Once `\\\\` is gone, each backslash that is left begins an escape.
+    # Once `\\` is gone, each backslash that is left begins an escape.
     text = F.substring(token, F.lit(2), F.char_length(token) - 2)
-    for found, written in [("\\\\", "\\u005c"), ("\\'", "'"), ('\\"', '"'), ('"', '\\"'), ("\t", "\\t")]:
-        text = F.replace(text, F.lit(found), F.lit(written))
+    for found, other in [("\\\\", "\\u005c"), ("\\'", "'"), ('\\"', '"'), ('"', '\\"'), ("\t", "\\t")]:
+        text = F.replace(text, F.lit(found), F.lit(other))
     between = F.regexp_replace(token, r",(\s*[}\]])", "$1")
-    for found, written in [("None", "null"), ("True", "true"), ("False", "false")]:
-        between = F.regexp_replace(between, rf"\b{found}\b", written)
-    return F.when(_is_text(token), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(between)
+    for found, word in [("None", "null"), ("True", "true"), ("False", "false")]:
+        between = F.regexp_replace(between, rf"\b{found}\b", word)
+    written = F.when(token.rlike(r"[NTF]|,\s*[}\]]"), between).otherwise(token)  # most need no change
+    return F.when(_is_text(token), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(written)
 
 
 def _is_text(token: Column) -> Column:
