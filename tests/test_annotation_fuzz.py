@@ -2,7 +2,9 @@
 
 import random
 
-from notecode.functions.annotations import annotation_routes, fold_python_dict, parse_annotations
+from pyspark.sql import functions as F
+
+from notecode.functions.annotations import _token_as_json, annotation_routes, fold_python_dict, parse_annotations
 
 VALUES = [
     "1", "-1", "01", "1.", "-.5", "1e5", "None", "True", "null", "true", "NaN", "+1", "1_000", "0x1F", "'a' 'b'",
@@ -103,3 +105,10 @@ def test_commas_quotes_and_repeats(spark):
     for row in parse_annotations(df, "cell").collect():
         assert {"dp": row.dp, "dr": row.dr, "das": row.das} == fold_python_dict(cells[row.i]), cells[row.i][:80]
     assert {r.route for r in annotation_routes(df.filter("i >= 8"), "cell").collect()} <= {"json", "tokens"}
+
+
+def test_tokens_that_json_reads_stay_as_they_are(spark):
+    tokens = ["'a b'", '"it\'s"', "'it\\'s'", "'say \"x\"'", "'a\tb'", ": None, ", ": 1, "]
+    written = ["'a b'", '"it\'s"', '"it\'s"', '"say \\"x\\""', '"a\\tb"', ": null, ", ": 1, "]
+    df = spark.createDataFrame([(tokens,)], "tokens array<string>")
+    assert df.select(F.transform("tokens", _token_as_json)).first()[0] == written
